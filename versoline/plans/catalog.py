@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from versoline.plans import timeline  # noqa: F401
+from versoline.plans import texts, timeline  # noqa: F401
