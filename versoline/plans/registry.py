@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from versoline.plans.views import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[list[str], str]] = {}
 
 
 def query(name: str, sql: str | None = None, needs: list[str] | None = None):
@@ -18,7 +18,12 @@ def query(name: str, sql: str | None = None, needs: list[str] | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(needs or [], sql)
+            ORACLES[name] = (needs or [], sql)
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """Every oracle with the views it needs in front."""
+    return {name: with_views(needs, sql) for name, (needs, sql) in ORACLES.items()}

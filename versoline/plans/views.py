@@ -166,7 +166,7 @@ class Tables:
         ebooks = self.table("orders").select(
             F.expr("concat('/lib/', o_custkey % 50, '/', o_orderkey % 2000, '/', case when o_orderkey % 11 = 0 then concat('Track ', o_orderkey % 6, ' - ', o_orderkey % 40) else concat('Novel ', o_custkey) end, '.epub')").alias("path"),
             F.expr("cast(o_totalprice as bigint)").alias("size"), F.expr("o_custkey * 1000").alias("mtime"))
-        return audio.unionByName(ebooks).groupBy("path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"))
+        return P.stage(audio.unionByName(ebooks).groupBy("path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime")))
 
 
 _SQL: dict[str, tuple[list[str], str]] = {
