@@ -180,6 +180,14 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows over all shuffle partitions, for work that is heavy per row and light per byte.
+
+    A stated partition count keeps adaptive execution from merging small partitions into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def slice_of(position: Column | str, width: int) -> Column:
     return F.floor(_col(position) / F.lit(width))
 

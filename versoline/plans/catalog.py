@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from versoline.plans import shelves, texts, timeline  # noqa: F401
+from versoline.plans import passages, shelves, texts, timeline  # noqa: F401

@@ -388,7 +388,7 @@ def _(t: Tables):
     return L.outline_level(o, t.books.select("book_id", F.expr("cast(book_id % 80 + 20 as int)").alias("page_count")))
 
 
-@query("chp_from_anchors", """WITH f AS (SELECT c.book_id, c.text_start, min_by(a.audio_ms, a.char_offset * 10000000 + a.audio_ms) AS t_at, min(c.title) AS title FROM chapters c
+@query("chp_from_anchors", """WITH f AS (SELECT c.book_id, c.text_start, min_by(a.audio_ms, CAST(a.char_offset AS BIGINT) * 10000000 + a.audio_ms) AS t_at, min(c.title) AS title FROM chapters c
       JOIN (SELECT * FROM anchors WHERE confidence > 0.6) a ON a.book_id = c.book_id AND a.char_offset >= c.text_start AND a.char_offset < c.text_end GROUP BY 1, 2),
     k AS (SELECT * FROM (SELECT *, max(t_at) OVER (PARTITION BY book_id ORDER BY text_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f) WHERE m IS NULL OR t_at > m)
     SELECT k.book_id, CAST(row_number() OVER w - 1 AS INT) AS chapter_idx, title, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE t_at END AS start_ms,

@@ -26,7 +26,11 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism:
+            # Text jobs are heavy per byte: a table of few files would leave cores idle.
+            df = df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
 
     @cached_property
     def ev(self) -> DataFrame:
