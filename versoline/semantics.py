@@ -47,10 +47,10 @@ REFINEMENT = AlignSettings(probe_ms=15_000, interval_ms=15_000, radius_tokens=12
 def heard(confidence: Column | str, threshold: float = BOUNDARY_CONFIDENCE) -> Column:
     """A measurement, as opposed to a boundary guess (strictly above the threshold).
 
-    The literal is a float: a float column holding exactly 0.2 must not count as heard.
+    Compared as floats: a confidence of exactly the threshold must not count, whatever its column type.
     """
     c = F.col(confidence) if isinstance(confidence, str) else confidence
-    return c > F.lit(threshold).cast("float")
+    return c.cast("float") > F.lit(threshold).cast("float")
 
 
 def half_even(c: Column) -> Column:
