@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from versoline.plans import building, ingest, passages, shelves, texts, timeline  # noqa: F401
+from versoline.plans import building, ingest, live, passages, shelves, texts, timeline  # noqa: F401

@@ -1,0 +1,36 @@
+"""A table of keyed rows in hash buckets, replaced bucket by bucket."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from versoline.operators import primitives as P
+
+BUCKETS = 64
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The stored rows, or None when nothing was ever written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema + ", bucket int").parquet(path)
+
+
+def replace(new: DataFrame, path: str, key: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+            buckets: int = BUCKETS) -> None:
+    """Rewrite the buckets ``new`` falls in with ``merge(old, new)``.
+
+    A bucket is replaced in one commit, so readers see the old rows or the new ones.  The merged rows are
+    written to the checkpoint folder before the table they were read from is touched.
+    """
+    place = F.pmod(F.hash(key), F.lit(buckets))
+    old = stored(new.sparkSession, path, schema)
+    if old is not None:
+        touched = new.select(place.alias("bucket")).distinct()
+        new = merge(old.join(touched, "bucket", "left_semi").drop("bucket"), new)
+    rows = P.stage(new.withColumn("bucket", place))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -6,39 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoline.operators import anchors as A
+from versoline.operators import primitives as P
+from versoline.sources import buckets
 
 ANCHORS = "book_id bigint, chapter_idx int, audio_ms bigint, char_offset int, confidence double"
-BUCKETS = 64
 
 
-def save(anchors: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the stored maps of the buckets these books fall in.
+def save(anchors: DataFrame, path: str) -> None:
+    """Replace the stored maps of these books; other books of the same buckets stay."""
+    def keep_others(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select("book_id").distinct(), "book_id", "left_anti").select(*new.columns).unionByName(new)
 
-    A bucket is replaced in one commit, so readers see the old map or the new one.  Books of the same
-    bucket that are not given are read back and kept.
-    """
-    spark = anchors.sparkSession
-    new = anchors.select("book_id", "chapter_idx", "audio_ms", "char_offset", "confidence").withColumn("bucket", F.pmod(F.hash("book_id"), F.lit(buckets)))
-    stored = _stored(spark, path)
-    if stored is not None:
-        touched = new.select("bucket").distinct()
-        kept = stored.join(F.broadcast(touched) if buckets <= 4096 else touched, "bucket", "left_semi").join(
-            new.select("book_id").distinct(), "book_id", "left_anti")
-        new = A.P.stage(new.unionByName(kept.select(*new.columns)))
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.schema(ANCHORS + ", bucket int").parquet(path)
+    buckets.replace(anchors.select("book_id", "chapter_idx", "audio_ms", "char_offset", "confidence"), path, "book_id", ANCHORS, keep_others)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored maps, made consistent again; None when there is no store."""
-    stored = _stored(spark, path)
-    return None if stored is None else A.consistent_run(stored.drop("bucket"))
+    rows = buckets.stored(spark, path, ANCHORS)
+    return None if rows is None else A.consistent_run(rows.drop("bucket"))
 
 
 PACKAGE = (
@@ -51,7 +36,7 @@ def packages(anchors: DataFrame, chapters: DataFrame, books: DataFrame, slice_ms
 
     A book is many lines, not one document: no row holds more than ``slice_ms`` of a map.
     """
-    sliced = anchors.groupBy("book_id", "chapter_idx", A.P.slice_of("audio_ms", slice_ms).alias("part")).agg(
+    sliced = anchors.groupBy("book_id", "chapter_idx", P.slice_of("audio_ms", slice_ms).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("audio_ms", "char_offset", "confidence"))).alias("anchors"))
     j = sliced.join(chapters.select("book_id", "chapter_idx", "text_start", "text_end"), ["book_id", "chapter_idx"], "left").join(
         books.select("book_id", "title", "audio_hash", "ebook_hash"), "book_id")
