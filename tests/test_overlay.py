@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from versoline.sources import overlay as O
 
 
@@ -12,9 +14,7 @@ def test_overlay_files_to_anchors(spark, tmp_path):
     folder = tmp_path / "OEBPS" / "smil"
     folder.mkdir(parents=True)
     (folder / "c.smil").write_text(SMIL)
-    base = "file://" + str(tmp_path) + "/"
-    from pyspark.sql import functions as F
-    pars = O.read_pars(spark, str(folder)).withColumn("smil", F.expr(f"substring(smil, {len(base) + 1})")).withColumn("book_id", F.lit(1))
+    pars = O.read_pars(spark, str(folder)).withColumn("smil", F.regexp_extract("smil", "(OEBPS/.*)$", 1)).withColumn("book_id", F.lit(1))
     ids = spark.createDataFrame([(1, "OEBPS/text/ch1.xhtml", "a", 0), (1, "OEBPS/text/ch1.xhtml", "b", 40), (1, "OEBPS/text/ch1.xhtml", None, 0)],
                                 "book_id int, entry string, fragment string, char_offset int")
     got = sorted((r.audio, r.audio_ms, r.char_offset) for r in O.anchors(pars, ids).collect())

@@ -5,9 +5,10 @@ every document would be a cross join; instead candidate windows come from an inv
 provably loses nothing:
 
 * a match of confidence c matches at least t = ceil(c * n) of the n passage words, so it matches at least
-  one of any n - t + 1 of them; only the rarest n - t + 1 words of a passage seed the search;
-* such a match spans at most n * (3 - 2c) document words, so a window of that reach around each seed
-  holds the whole alignment, with the same score, ends and ties as in the whole document.
+  h of any n - t + h of them; only the rarest n - t + h words of a passage are looked up (h = t / 2), and
+  a window with fewer than h of them is passed over;
+* such a match spans at most n * (3 - 2c) document words, so with buckets of that reach it lies in one
+  bucket and the next, and a window of two buckets gives the same score, ends and ties as the document.
 """
 
 from __future__ import annotations
@@ -69,59 +70,57 @@ def _seeded(queries: DataFrame, documents: DataFrame, need: Column, reach: Colum
     """
     q = queries.select("query_id", X.words(F.col("text")).alias("q")).filter(F.size("q") > 0)
     q = q.withColumn("n", F.size("q")).withColumn("need", need).withColumn("reach", reach).filter("need <= n")
+    q = q.withColumn("hits", F.ceil(F.col("need") / 2).cast("int"))
     occ = documents.select("doc_id", F.posexplode("words.v").alias("tok_idx", "value"))
     positions = q.select("query_id", F.posexplode("q").alias("i", "value"))
     vocabulary = positions.select("value").distinct()
     df = occ.select("value").join(vocabulary, "value", "left_semi").groupBy("value").agg(F.count("*").alias("df"))
     ranked = positions.join(df, "value", "left").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "value", "i"))).alias("r"))
-    rare = ranked.join(q.select("query_id", "n", "need", "reach"), "query_id").select(
-        "query_id", "reach", F.explode(F.array_distinct(F.transform(F.slice("r", 1, F.col("n") - F.col("need") + 1), lambda e: e["value"]))).alias("value"))
-    seeds = occ.join(rare, "value").select("query_id", "doc_id", F.expr("tok_idx div reach").alias("b")).distinct()
-    return seeds.join(q, "query_id").select(
-        "query_id", "doc_id", "q", F.greatest((F.col("b") - 1) * F.col("reach"), F.lit(0)).alias("from_tok"),
-        ((F.col("b") + 2) * F.col("reach")).alias("to_tok"))
+    prefix = F.slice("r", 1, F.col("n") - F.col("need") + F.col("hits"))
+    rare = ranked.join(q.select("query_id", "n", "need", "hits", "reach"), "query_id").select(
+        "query_id", "reach", F.explode(F.array_distinct(F.transform(prefix, lambda e: e["value"]))).alias("value"))
+    per_bucket = occ.join(rare, "value").groupBy("query_id", "doc_id", F.expr("tok_idx div reach").alias("b")).agg(F.count("*").alias("k"))
+    # An alignment lies in one bucket and the next: a bucket counts for the window it opens and the one before.
+    pairs = per_bucket.select("query_id", "doc_id", "k", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("b")).filter("b >= 0")
+    seen = pairs.groupBy("query_id", "doc_id", "b").agg(F.sum("k").alias("k"))
+    return seen.join(q, "query_id").filter("k >= hits").select(
+        "query_id", "doc_id", "q", (F.col("b") * F.col("reach")).alias("from_tok"), ((F.col("b") + 2) * F.col("reach")).alias("to_tok"))
 
 
 # --- alignment of one window ------------------------------------------------------------------
 
-def _align(query: list[int], window: np.ndarray) -> tuple[int, int, int, int, int] | None:
-    """Best local alignment: (score, window from, window last, query from, query last).
+def _align(query: list[int], windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Best local alignment of one passage in each window (row): score, from, last, query from, query last.
 
     The first strictly best cell wins, scanning query words outside and window words inside; a diagonal
-    step is preferred to a skipped query word, that to a skipped window word.  Each row is vectorised:
-    runs of skipped window words are a prefix maximum of (score + place).
+    step is preferred to a skipped query word, that to a skipped window word.  A row of cells is one
+    vector: runs of skipped window words are a prefix maximum of (score + place), the later place first.
     """
-    width = len(window)
+    count, width = windows.shape
     places = np.arange(width + 1, dtype=np.int64)
-    score = np.zeros(width + 1, dtype=np.int64)
-    w_from = np.zeros(width + 1, dtype=np.int64)
-    q_from = np.zeros(width + 1, dtype=np.int64)
-    best = None
+    score = np.zeros((count, width + 1), dtype=np.int64)
+    w_from = np.zeros_like(score)
+    q_from = np.zeros_like(score)
+    rows = np.arange(count)
+    best = np.zeros((5, count), dtype=np.int64)
     for j, word in enumerate(query):
-        step = np.where(window == word, MATCH, MISMATCH)
-        alive = score[:-1] > 0
-        base = np.empty(width + 1, dtype=np.int64)
-        base[0] = 0
-        base[1:] = np.where(alive, score[:-1], 0) + step
-        bw, bq = np.empty_like(base), np.empty_like(base)
-        bw[0], bq[0] = 0, j
-        bw[1:] = np.where(alive, w_from[:-1], places[:-1])
-        bq[1:] = np.where(alive, q_from[:-1], j)
-        skipped = np.where(score > 0, score + GAP, GAP)
-        skipped[0] = 0
-        over = skipped > base
-        base, bw, bq = np.where(over, skipped, base), np.where(over, w_from, bw), np.where(over, q_from, bq)
-        np.maximum(base, 0, out=base)
-        top = np.maximum.accumulate((base + places) * (width + 1) + places)
+        alive = score > 0
+        base, bw, bq = np.zeros_like(score), np.zeros_like(score), np.full_like(score, j)
+        base[:, 1:] = score[:, :-1] + np.where(windows == word, MATCH, MISMATCH)
+        bw[:, 1:] = np.where(alive[:, :-1], w_from[:, :-1], places[:-1])
+        bq[:, 1:] = np.where(alive[:, :-1], q_from[:, :-1], j)
+        over = alive & (score + GAP > base)
+        base = np.maximum(np.where(over, score + GAP, base), 0)
+        bw, bq = np.where(over, w_from, bw), np.where(over, q_from, bq)
+        top = np.maximum.accumulate((base + places) * (width + 1) + places, axis=1)
         source = top % (width + 1)
         score = top // (width + 1) - places
-        w_from, q_from = bw[source], bq[source]
-        peak = int(score.max())
-        if peak > 0 and (best is None or peak > best[0]):
-            at = int(score.argmax())
-            best = (peak, int(w_from[at]), at - 1, int(q_from[at]), j)
-    return best
+        w_from, q_from = np.take_along_axis(bw, source, 1), np.take_along_axis(bq, source, 1)
+        at = score.argmax(axis=1)
+        found = np.stack([score[rows, at], w_from[rows, at], at - 1, q_from[rows, at], np.full(count, j)])
+        best = np.where(found[0] > best[0], found, best)
+    return tuple(best)
 
 
 MATCH_SCHEMA = "query_id bigint, doc_id bigint, score int, n int, tok int, last_tok int, char_offset int, end_offset int, q_start int, q_end int"
@@ -130,22 +129,29 @@ MATCH_SCHEMA = "query_id bigint, doc_id bigint, score int, n int, tok int, last_
 def _aligned(windows: DataFrame) -> DataFrame:
     """Align every (query_id, doc_id, q, from_tok, words, enough) row; rows are independent of each other."""
 
+    names = [c.split()[0] for c in MATCH_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                codes: dict[str, int] = {}
-                query = [codes.setdefault(w, len(codes)) for w in row.q]
-                window = np.array([codes.get(v, -1) for v in row.v], dtype=np.int64)
-                present = set(window.tolist())
-                if MATCH * sum(c in present for c in query) < row.enough:
-                    continue
-                got = _align(query, window)
-                if got is None or got[0] < row.enough:
-                    continue
-                s, a, z, qa, qz = got
-                out.append((row.query_id, row.doc_id, s, len(query), row.from_tok + a, row.from_tok + z, row.s[a], row.e[z], qa, qz))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
+            for _, same in pdf.groupby("query_id", sort=False):
+                yield passage(same)
+
+    def passage(rows: pd.DataFrame) -> pd.DataFrame:
+        codes: dict[str, int] = {}
+        query = [codes.setdefault(w, len(codes)) for w in rows["q"].iloc[0]]
+        coded = [[codes.get(v, -1) for v in words] for words in rows["v"]]
+        kept = [i for i, (c, enough) in enumerate(zip(coded, rows["enough"])) if MATCH * sum(map(set(c).__contains__, query)) >= enough]
+        if not kept:
+            return pd.DataFrame(columns=names)
+        grid = np.full((len(kept), max(len(coded[i]) for i in kept)), -1, dtype=np.int64)
+        for g, i in enumerate(kept):
+            grid[g, : len(coded[i])] = coded[i]
+        out = []
+        for i, score, a, z, qa, qz in zip(kept, *_align(query, grid)):
+            row = rows.iloc[i]
+            if score >= max(row["enough"], 1):
+                out.append((row["query_id"], row["doc_id"], score, len(query), row["from_tok"] + a, row["from_tok"] + z, row["s"][a], row["e"][z], qa, qz))
+        return pd.DataFrame(out, columns=names)
 
     rows = windows.select("query_id", "doc_id", "q", F.col("from_tok").cast("int").alias("from_tok"), F.col("words.v").alias("v"),
                           F.col("words.s").alias("s"), F.col("words.e").alias("e"), "enough")
