@@ -70,7 +70,7 @@ def _seeded(queries: DataFrame, documents: DataFrame, need: Column, reach: Colum
     """
     q = queries.select("query_id", X.words(F.col("text")).alias("q")).filter(F.size("q") > 0)
     q = q.withColumn("n", F.size("q")).withColumn("need", need).withColumn("reach", reach).filter("need <= n")
-    q = q.withColumn("hits", F.ceil(F.col("need") / 2).cast("int"))
+    q = P.stage(q.withColumn("hits", F.ceil(F.col("need") / 2).cast("int")))
     occ = documents.select("doc_id", F.posexplode("words.v").alias("tok_idx", "value"))
     positions = q.select("query_id", F.posexplode("q").alias("i", "value"))
     vocabulary = positions.select("value").distinct()
@@ -78,8 +78,8 @@ def _seeded(queries: DataFrame, documents: DataFrame, need: Column, reach: Colum
     ranked = positions.join(df, "value", "left").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "value", "i"))).alias("r"))
     prefix = F.slice("r", 1, F.col("n") - F.col("need") + F.col("hits"))
-    rare = ranked.join(q.select("query_id", "n", "need", "hits", "reach"), "query_id").select(
-        "query_id", "reach", F.explode(F.array_distinct(F.transform(prefix, lambda e: e["value"]))).alias("value"))
+    rare = P.stage(ranked.join(q.select("query_id", "n", "need", "hits", "reach"), "query_id").select(
+        "query_id", "reach", F.explode(F.array_distinct(F.transform(prefix, lambda e: e["value"]))).alias("value")))
     per_bucket = occ.join(rare, "value").groupBy("query_id", "doc_id", F.expr("tok_idx div reach").alias("b")).agg(F.count("*").alias("k"))
     # An alignment lies in one bucket and the next: a bucket counts for the window it opens and the one before.
     pairs = per_bucket.select("query_id", "doc_id", "k", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("b")).filter("b >= 0")
@@ -158,7 +158,7 @@ def _aligned(windows: DataFrame) -> DataFrame:
     # A score of ``enough`` takes half as many passage words that occur in the window at all; here every
     # repeated word of the passage counts as found, the exact count follows beside the alignment.
     shared = F.size(F.array_intersect("q", "v")) + F.size("q") - F.size(F.array_distinct("q"))
-    return P.spread(rows, ["query_id", "doc_id", "from_tok"]).filter(shared * MATCH >= F.col("enough")).mapInPandas(run, MATCH_SCHEMA)
+    return P.spread(rows.filter(shared * MATCH >= F.col("enough")), ["query_id", "doc_id", "from_tok"]).mapInPandas(run, MATCH_SCHEMA)
 
 
 def _cut(windows: DataFrame, documents: DataFrame) -> DataFrame:
