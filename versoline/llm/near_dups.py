@@ -9,10 +9,12 @@ earliest dart per coordinate.  Documents with an empty coordinate throw on up to
 coordinate with probability equal to the weighted Jaccard similarity.
 
 *Joining.*  Equal word sequences form one class first; only classes go on.  ``bands`` bands of ``rows`` coordinates each give
-bucket keys.  In each bucket every class is compared with the least one, never all with all; a compare is exact, on the
-texts.  Links of ``threshold`` or more join classes into components.  Buckets that still hold several components are then
-compared across components only, where size and the distance to the bucket's least class (a metric) leave a link possible, so
-no link between different texts of one bucket is lost.  32 bands of 6 find a pair of similarity 0.8 with probability 0.9999.
+bucket keys.  In each bucket every class is compared with its most central one (that with the largest buckets), never all with
+all; a compare is exact, on the texts.  Links of ``threshold`` or more join classes into components.  In buckets that still
+hold several components, the classes outside the largest one are held against the rest by signature, in blocks of bounded
+size: first each against its few most promising partners, then, for what is still loose, against all whose signature does not
+rule out a link (3.8 standard deviations).  So components come out as if all pairs had been compared, up to a chance of about
+1e-4 per link that no other link stands in for (32 bands of 6 find a pair of similarity 0.8 with probability 0.9999).
 
 Null and empty texts have no shingle: each is a class of its own.  Equal ids with different texts are different documents;
 equal ids with equal texts are copies.  Null ids stay null and never name a class, unless all ids of a class are null.
@@ -24,11 +26,12 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import U64, hash_words, mix, slices, stage, texts_of, word_table
+from versoline.llm.shared import U64, hash_words, mix, shuffle_partitions, slices, stage, texts_of, word_table
 
 SHINGLE = 5
 FIRST = -4  # the first rank cell is [0, 2 ** FIRST)
@@ -137,20 +140,23 @@ def word_digest(text: bytes) -> bytes:
 
 
 def sketch(documents: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (digest of the words), bands.  Narrow."""
+    """doc_id, node (digest of the words), bands, sign (a byte per coordinate).  Narrow."""
 
     def run(batches):
         for batch in slices(batches, "text", 2_000_000):
             texts = texts_of(batch)
             codes, docs, words = word_table(texts)
             d, s, c = shingles(codes, docs, hash_words([w.decode("utf-8", "replace") for w in words]), len(texts))
-            keys = band_keys(signatures(d, s, c.astype(np.float64), len(texts), bands * rows), bands, rows)
+            signed = signatures(d, s, c.astype(np.float64), len(texts), bands * rows)
+            keys = band_keys(signed, bands, rows)
             keys = [k if t else [] for k, t in zip(keys, np.bincount(d, minlength=len(texts)))]
+            sign = mix(signed.view(U64)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([word_digest(t) for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                [batch.column("doc_id"), pa.array([word_digest(t) for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array([x.tobytes() for x in sign], pa.binary())], ["doc_id", "node", "bands", "sign"])
 
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
+    return own.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, sign binary")
 
 
 def similarity(a: bytes, b: bytes, size: int = SHINGLE) -> float:
@@ -170,6 +176,17 @@ def similarity(a: bytes, b: bytes, size: int = SHINGLE) -> float:
     return both / total if total else 0.0
 
 
+def unnamed_texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of wanted digests that only rows without id have."""
+
+    def digest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([word_digest(t) for t in texts_of(batch)], pa.binary()), batch.column("text")], ["node", "text"])
+
+    loose = own.where("doc_id is null").select("text").mapInArrow(digest, "node binary, text binary")
+    return loose.join(wanted.where("least is null").select("node"), "node", "left_semi")
+
+
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with their exact similarity.  The text of a much-used ``a`` is copied once per thousand partners,
     so that no task gets all of them."""
@@ -203,13 +220,58 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def loose_pairs(shared: DataFrame, labels: DataFrame, signs: DataFrame, cut: float, bands: int, rows: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose signatures agree in a share of ``cut`` or more; with ``best``
+    only so many per class and block.  One side is always outside the bucket's largest component.  Both sides are dealt into
+    blocks of about a thousand, so a bucket of any size is spread over many tasks."""
+    part = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = part.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"),
+                                       F.max("n").alias("most"), F.sum("n").alias("n")).where("parts > 1")
+    spread = part.join(main.select("bucket", "main", F.expr("cast(ceil((n - most) / 1000) as int)").alias("cl"), F.expr("cast(ceil(n / 1000) as int)").alias("cr")), "bucket")
+    spread = spread.join(signs, "node").select("bucket", "band", "node", "component", "sign", "main", "cl", "cr")
+    left = spread.where("component != main").withColumn("i", F.pmod(F.xxhash64("node"), "cl").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cr - 1)"))).withColumn("side", F.lit(0))
+    right = spread.withColumn("j", F.pmod(F.xxhash64("node"), "cr").cast("int")).withColumn("i", F.explode(F.expr("sequence(0, cl - 1)"))).withColumn("side", F.lit(1))
+    blocks = left.unionByName(right).select("bucket", "band", "i", "j", "side", "node", "component", "sign")
+    tasks = 4 * shuffle_partitions(shared.sparkSession)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, _, _), block in pdf.groupby(["bucket", "i", "j"], sort=False):
+            band = int(block["band"].iloc[0])
+            l, r = block[block["side"] == 0], block[block["side"] == 1]
+            if not len(l):
+                continue
+            signs_r = np.frombuffer(b"".join(r["sign"]), np.uint8).reshape(len(r), -1)
+            nodes_r, parts_r = r["node"].to_numpy(), r["component"].to_numpy()
+            for node, part, sign in zip(l["node"], l["component"], l["sign"]):
+                same = signs_r == np.frombuffer(sign, np.uint8)
+                share = (same.mean(1) - 1 / 256) * 256 / 255
+                ok = (share >= cut) & (parts_r != part)
+                at = np.flatnonzero(ok)
+                if best is None and len(at):  # each pair in its first common bucket only
+                    at = at[same[at].reshape(len(at), bands, rows).all(2).argmax(1) == band]
+                elif len(at) > (best or 0):
+                    at = at[np.argsort(-share[at], kind="stable")[:best]]
+                out += [(min(node, nodes_r[k]), max(node, nodes_r[k])) for k in at]
+        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
+
+    dealt = blocks.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(pairs, "a binary, b binary").distinct()
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
-    """One row per document: doc_id, node, class_id (least id of its class), n_links (links of its text to other texts)."""
+    """One row per document: doc_id, node, class_id (least id of its class), n_links (links of its text to other texts that
+    were found on the way to the classes; copies of a text count once)."""
     sketched = stage(sketch(documents, bands, rows))
     classes = sketched.where(F.length("node") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    members = classes.select("node", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = stage(members.join(heads, "bucket"))
+    members = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = stage(members.join(full, "bucket"))
+    weight = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = crowded.join(weight, "node")
+    heads = weighed.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("head"))
+    shared = stage(crowded.join(heads, "bucket").select("bucket", "band", "node", "head"))
     star = shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     wanted = shared.select("node").distinct().join(sketched.groupBy("node").agg(F.min("doc_id").alias("least")), "node")
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -219,23 +281,19 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 3
             keep = pa.array([word_digest(t) == n for t, n in zip(texts_of(batch), batch.column("node").to_pylist())], pa.bool_())
             yield batch.filter(keep).select(["node", "text"])
 
-    named = wanted.where("least is not null").join(own, F.col("least") == F.col("doc_id")).select("node", "text")
-    texts = stage(named.mapInArrow(same, "node binary, text binary").dropDuplicates(["node"]))
-    checked = stage(compare(star, texts))
-    links = checked.where(F.col("similarity") >= threshold).select("a", "b")
+    # a text without any id can't be fetched by it: its digest is looked up among the rows without id
+    by_id = wanted.where("least is not null").join(own, F.col("least") == F.col("doc_id")).select("node", "text")
+    texts = stage(by_id.mapInArrow(same, "node binary, text binary").unionByName(unnamed_texts(own, wanted)).dropDuplicates(["node"]))
+    signs = sketched.where(F.length("node") > 0).groupBy("node").agg(F.first("sign").alias("sign"))
+    links = stage(compare(star, texts).where(F.col("similarity") >= threshold).select("a", "b"))
     labels = components(links)
-
-    part = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = part.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    far = checked.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    left = stage(part.join(open_, "bucket").join(far, ["head", "node"], "left").where("node != head"))
-    x = left.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("far").alias("fa"))
-    y = left.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"))
-    cross = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - threshold + 1e-9))
-    late = stage(compare(cross.select("a", "b").distinct(), texts).where(F.col("similarity") >= threshold).select("a", "b"))
-    if not late.isEmpty():
-        links = stage(links.union(late).distinct())
-        labels = components(links)
+    cut = threshold - 3.8 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    for best in (3, None):
+        late = compare(loose_pairs(shared, labels, signs, cut, bands, rows, best), texts).where(F.col("similarity") >= threshold)
+        late = stage(late.select("a", "b"))
+        if not late.isEmpty():
+            links = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(late).distinct())
+            labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = labels.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"))
