@@ -13,8 +13,9 @@ bucket keys.  In each bucket every class is compared with its most central one (
 all; a compare is exact, on the texts.  Links of ``threshold`` or more join classes into components.  In buckets that still
 hold several components, the classes outside the largest one are held against the rest by signature, in blocks of bounded
 size: first each against its few most promising partners, then, for what is still loose, against all whose signature does not
-rule out a link (3.8 standard deviations).  So components come out as if all pairs had been compared, up to a chance of about
-1e-4 per link that no other link stands in for (32 bands of 6 find a pair of similarity 0.8 with probability 0.9999).
+rule out a link (three standard deviations).  So components come out as if all pairs had been compared, up to a chance of about
+1e-3 per link of exactly 0.8 (1e-4 at 0.82) that no other link stands in for; 32 bands of 6 find a pair of similarity 0.8 with
+probability 0.9999.
 
 Null and empty texts have no shingle: each is a class of its own.  Equal ids with different texts are different documents;
 equal ids with equal texts are copies.  Null ids stay null and never name a class, unless all ids of a class are null.
@@ -249,10 +250,10 @@ def loose_pairs(shared: DataFrame, labels: DataFrame, signs: DataFrame, cut: flo
                 share = (same.mean(1) - 1 / 256) * 256 / 255
                 ok = (share >= cut) & (parts_r != part)
                 at = np.flatnonzero(ok)
-                if best is None and len(at):  # each pair in its first common bucket only
-                    at = at[same[at].reshape(len(at), bands, rows).all(2).argmax(1) == band]
-                elif len(at) > (best or 0):
+                if best is not None and len(at) > best:
                     at = at[np.argsort(-share[at], kind="stable")[:best]]
+                if len(at):  # each pair in its first common bucket only
+                    at = at[same[at].reshape(len(at), bands, rows).all(2).argmax(1) == band]
                 out += [(min(node, nodes_r[k]), max(node, nodes_r[k])) for k in at]
         return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
 
@@ -287,7 +288,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 3
     signs = sketched.where(F.length("node") > 0).groupBy("node").agg(F.first("sign").alias("sign"))
     links = stage(compare(star, texts).where(F.col("similarity") >= threshold).select("a", "b"))
     labels = components(links)
-    cut = threshold - 3.8 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    cut = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     for best in (3, None):
         late = compare(loose_pairs(shared, labels, signs, cut, bands, rows, best), texts).where(F.col("similarity") >= threshold)
         late = stage(late.select("a", "b"))
