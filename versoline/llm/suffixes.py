@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from versoline.llm.shared import U64, mix, shared_folder, shuffle_partitions, slices
 
 GRAM = 26
-PIECE = 1 << 20
+PIECE = 1 << 18
 _FACTOR = 0x9E3779B97F4A7C15
 _ONES = (1 << 64) - 1
 
@@ -316,7 +316,7 @@ def _ids(ids: list) -> np.ndarray:
     return np.array([0 if i is None else i for i in ids], np.int64)
 
 
-def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 16.0) -> DataFrame:
+def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 8.0) -> DataFrame:
     """``documents`` with ``spans``: the removed stretches of each text as [start, end) pairs of bytes, maximal and in order."""
     spark = documents.sparkSession
     out_schema = documents.drop("spans").withColumn("spans", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))).schema
