@@ -316,7 +316,7 @@ def _ids(ids: list) -> np.ndarray:
     return np.array([0 if i is None else i for i in ids], np.int64)
 
 
-def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 8.0) -> DataFrame:
+def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 4.0) -> DataFrame:
     """``documents`` with ``spans``: the removed stretches of each text as [start, end) pairs of bytes, maximal and in order."""
     spark = documents.sparkSession
     out_schema = documents.drop("spans").withColumn("spans", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))).schema
@@ -336,16 +336,19 @@ def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 8.0)
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 table, texts, ids = _open(row.pop("payload"))
-                yield row, table, texts, _ids(ids), list(block_runs(texts, ids, length))
+                yield row, table, texts, _ids(ids), block_runs(texts, ids, length)
+                del row, table, texts, ids
+                pa.default_memory_pool().release_unused()
 
     def ask_keys(batches):
         for row, _, _, ids, parts in rows(batches):
-            yield packed(row["block"], *_key_array(parts, ids))
+            yield packed(row["block"], *_key_array([(p[0], None, None, None, p[4], p[5]) for p in parts], ids))
 
     def replies(of) -> bytes:
         return [zstandard.decompress(r["blob"]) for r in sorted(of or [], key=lambda r: r["shard"])]
 
     def known_strings(row, ids, parts):
+        parts = list(parts)
         keys, _, _ = _key_array(parts, ids)
         flags = np.frombuffer(b"".join(replies(row["keys"])), np.uint8)
         return _strings(parts, ids, keys, flags)
