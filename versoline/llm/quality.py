@@ -107,7 +107,7 @@ def fit_ordinal(x: Sparse, grade: np.ndarray, n_thresholds: int, l2: float = 0.0
     return at
 
 
-def fit(documents: DataFrame, ratings: DataFrame, rating: str = "quality", max_rows: int = 16_000) -> Ordinal:
+def fit(documents: DataFrame, ratings: DataFrame, rating: str = "quality", max_rows: int = 8_000) -> Ordinal:
     """Weights and thresholds from at most ``max_rows`` rated rows; an id rated twice counts once, with its least rating."""
     rated = ratings.where(F.col(rating).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(rating).alias("__y"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)

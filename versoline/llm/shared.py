@@ -92,7 +92,7 @@ class Sparse:
     """Rows of (feature, value) pairs, for fitting on a bounded sample."""
 
     def __init__(self, rows: np.ndarray, features: np.ndarray, values: np.ndarray, n_rows: int, n_features: int):
-        self.rows, self.features, self.values, self.shape = rows, features, values.astype(np.float64), (n_rows, n_features)
+        self.rows, self.features, self.values, self.shape = rows, features, values.astype(np.float32), (n_rows, n_features)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * w[self.features], self.shape[0])

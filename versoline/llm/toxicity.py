@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import Sparse, hash_words, held_out, sigmoid, slices, texts_of, word_table
+from versoline.llm.shared import Sparse, hash_words, held_out, sigmoid, slices, stage, texts_of, word_table
 
 #: Fixed word list: common public insults.
 LEXICON = [
@@ -183,28 +183,42 @@ def fit_classifier(x: Sparse, names: np.ndarray, p: np.ndarray, keep: int = 4096
     return Classifier(names[best], at[0], at[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, voters: int = 96) -> Classifier:
-    """Label model and classifier from at most ``max_rows`` labelled rows outside the held-out fifth."""
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, voters: int = 96, max_features: int = 30_000) -> Classifier:
+    """Label model and classifier from at most ``max_rows`` labelled rows outside the held-out fifth.  Spark counts the features
+    of these rows; the ``max_features`` that go with toxic ones most are kept."""
     rated = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = stage(texts.select("text", (F.col("__y") > 0).alias("toxic")))
+    words = (hash_words(LEXICON) >> np.uint64(1)).astype(np.int64)
 
-    def emit(batches):
+    def tally(batches):  # how many texts, and toxic ones, have a feature
         for batch in slices(batches, "text"):
             rows, ids = features(texts_of(batch))
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+            names, index = np.unique(ids, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(index, minlength=len(names))), pa.array(np.bincount(index, toxic[rows], len(names)).astype(np.int64))], ["id", "df", "pos"])
+
+    size, toxic = texts.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0))).first()
+    if not toxic:
+        return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log(0.5 / (size + 1.5))))
+    tallied = texts.mapInArrow(tally, "id bigint, df bigint, pos bigint").groupBy("id").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    rate = F.col("pos") / F.col("df")
+    telling = tallied.where(F.col("id").isin(words.tolist()) | ((F.col("df") >= 2) & (rate >= min(0.5, 2 * toxic / size)))).orderBy(F.desc(F.col("pos") * rate), "id").limit(max_features)
+    names = np.unique([r["id"] for r in telling.select("id").collect()]).astype(np.int64)
+    spread = documents.sparkSession.sparkContext.broadcast(names)  # at most max_features
+
+    def emit(batches):
+        for batch in slices(batches, "text"):
+            rows, ids = features(texts_of(batch), spread.value)
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__y").cast(pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["y", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["toxic", "ids"])
 
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = texts.select("text", "__y").mapInArrow(emit, "y bigint, ids binary").toPandas()
-    y = (got["y"].to_numpy() > 0).astype(float)
-    if not y.sum():
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log((y.sum() + 0.5) / (len(y) + 1.5))))
+    got = texts.mapInArrow(emit, "toxic boolean, ids binary").toPandas()
+    y = got["toxic"].to_numpy().astype(float)
     ids = [np.frombuffer(x, np.int64) for x in got["ids"]]
-    rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    names, index = np.unique(np.concatenate(ids), return_inverse=True)
+    rows, index = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
     x = Sparse(rows, index, np.ones(len(rows)), len(y), len(names))
-    words = (hash_words(LEXICON) >> np.uint64(1)).astype(np.int64)
     chosen = choose_voters(x, y, np.flatnonzero(np.isin(names, words)), voters)
     if not len(chosen):
         return fit_classifier(x, names, y)
