@@ -98,7 +98,7 @@ def count(documents: DataFrame, order: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
                     held[o] = []
 
-        for batch in slices(batches, "text", 12_000_000):
+        for batch in slices(batches, "text", 6_000_000):
             _, _, _, index, words, lang = language_words(batch)
             if not words:
                 continue
@@ -226,7 +226,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "lang", *FACTS, "log_perplexity"]
 
     def run(batches):
-        for batch in slices(batches, "text", 12_000_000):
+        for batch in slices(batches, "text", 6_000_000):
             texts, codes, docs, index, words, lang = language_words(batch)
             facts = base_counts(texts, codes, docs)
             total = size = np.zeros(len(texts))

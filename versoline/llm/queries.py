@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from versoline.llm import bpe, licences, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
+from versoline.llm.shared import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bound_batches(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run

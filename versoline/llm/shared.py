@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
+    """Let Spark hand Arrow batches of at most ``size`` (one row, if that is longer) to Python, whatever the rows' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, runs the plan once."""
     spark = df.sparkSession
@@ -43,7 +49,7 @@ def held_out(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` has about ``limit`` bytes in each; a row is never cut."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -14,7 +14,7 @@ from array import array
 import tiktoken
 
 GAP = re.compile(r"\s ")
-CACHED = 400_000
+CACHED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
