@@ -78,7 +78,8 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int = 32,
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("dim", "v").collect()
     of_length: dict[int, np.ndarray] = {}
     for dim in {r["dim"] for r in drawn}:
-        of_length[dim] = spread_out(np.array([r["v"] for r in drawn if r["dim"] == dim], float).reshape(-1, dim), pivots)
+        of_this = [r["v"] for r in drawn if r["dim"] == dim]
+        of_length[dim] = spread_out(np.array(of_this, float).reshape(len(of_this), dim), pivots)
     table = vectors.sparkSession.sparkContext.broadcast(of_length)  # at most ``sample`` vectors
 
     def pack(size):
