@@ -104,7 +104,7 @@ def clock_ms(c: Column) -> Column:
     amount = F.regexp_extract(t, "^(.*?)(ms|min|h|s)?$", 1).try_cast("double")
     unit = F.regexp_extract(t, "(ms|min|h|s)$", 1)
     scale = F.when(unit == "ms", 1.0).when(unit == "min", 60_000.0).when(unit == "h", 3_600_000.0).otherwise(1000.0)
-    return F.rint(F.when(F.contains(t, F.lit(":")), sexagesimal).when(t != "", amount * scale)).cast("bigint")
+    return F.rint(F.when(F.contains(t, F.lit(":")), sexagesimal).when(t != "", amount * scale)).try_cast("bigint")
 
 
 def clock_text(ms: Column) -> Column:

@@ -409,14 +409,14 @@ def server_marks(marks: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def bookmark_list(bookmarks: DataFrame, chapters: DataFrame, limit: int = 50) -> DataFrame:
-    """Bookmarks with their chapter, in place order; a book holds its first fifty.
+    """Bookmarks with their chapter, in place order; ``over_limit`` marks those a book of ``limit`` would not have taken.
 
     ``bookmarks(book_id, bookmark_id, position_ms, text_offset, created)``; the chapter of a position is
     the last one starting at or before it, of a text bookmark the first.  Being over the limit is decided
     by a running count along the creation time.
     """
     s = P.scan(bookmarks, ["book_id"], ["created", "bookmark_id"], F.date_trunc("day", "created"), {"__n": P.row_index()})
-    kept = s.filter(F.col("__n") < limit).drop("__n")
+    kept = s.withColumn("over_limit", F.col("__n") >= limit).drop("__n")
     starts = chapters.filter("start_ms is not null and end_ms is not null").select("book_id", "chapter_idx", "start_ms")
     b = P.bracket(kept, starts, ["book_id"], "position_ms", "start_ms", ["chapter_idx"], 600_000)
     b = b.withColumn("chapter_idx", F.when(F.col("position_ms").isNull(), F.lit(0)).otherwise(F.coalesce("lo.chapter_idx", F.lit(0)))).drop("lo", "hi")
@@ -424,7 +424,7 @@ def bookmark_list(bookmarks: DataFrame, chapters: DataFrame, limit: int = 50) ->
     b = b.withColumn("place", F.coalesce("position_ms", "text_offset", F.lit(0)))
     ordered = P.scan(b, ["book_id"], ["place", "created", "bookmark_id"], P.slice_of("place", 3_600_000), {"row": P.row_index()})
     return ordered.select("book_id", "bookmark_id", "chapter_idx", numbered(F.col("title"), F.col("chapter_idx")).alias("chapter"),
-                          "place", F.col("row").cast("int").alias("row"))
+                          "place", F.col("row").cast("int").alias("row"), "over_limit")
 
 
 # --- reports and shelves ----------------------------------------------------------------------

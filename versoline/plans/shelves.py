@@ -412,9 +412,9 @@ register_sql("bookmarks", ["ev"], """SELECT book_id, event_id AS bookmark_id, CA
 
 
 @query("bmk_list", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY created, bookmark_id) AS n FROM bookmarks),
-    c AS (SELECT k.*, CASE WHEN position_ms IS NULL THEN 0 ELSE (SELECT max(chapter_idx) FROM chapters x WHERE x.book_id = k.book_id AND x.start_ms <= k.position_ms) END AS ci FROM k WHERE n <= 50)
+    c AS (SELECT k.*, CASE WHEN position_ms IS NULL THEN 0 ELSE (SELECT max(chapter_idx) FROM chapters x WHERE x.book_id = k.book_id AND x.start_ms <= k.position_ms) END AS ci FROM k)
     SELECT c.book_id, bookmark_id, CAST(coalesce(ci, 0) AS INT) AS chapter_idx, coalesce(x.title, 'Chapter ' || (coalesce(ci, 0) + 1)) AS chapter, coalesce(position_ms, text_offset, 0) AS place,
-      CAST(row_number() OVER (PARTITION BY c.book_id ORDER BY coalesce(position_ms, text_offset, 0), created, bookmark_id) - 1 AS INT) AS row
+      CAST(row_number() OVER (PARTITION BY c.book_id ORDER BY coalesce(position_ms, text_offset, 0), created, bookmark_id) - 1 AS INT) AS row, n > 50 AS over_limit
     FROM c LEFT JOIN chapters x ON x.book_id = c.book_id AND x.chapter_idx = coalesce(ci, 0)""".replace("WITH k AS", "SELECT * FROM (WITH k AS") + ")", ["bookmarks", "chapters"])
 def _(t: Tables):
     b = t.ev.select("book_id", F.col("event_id").alias("bookmark_id"), F.expr("case when event_id % 3 <> 0 then s end").alias("position_ms"),
