@@ -18,10 +18,12 @@ def one(spark, fn, value):
 @pytest.mark.parametrize("text, want", [
     ("One. Two! Three? Four…", ["One.", "Two!", "Three?", "Four…"]),
     ("Mr. Smith met Dr. Jones. They left.", ["Mr. Smith met Dr. Jones.", "They left."]),
-    ("J. R. R. Tolkien wrote. He did.", ["J. R. R. Tolkien wrote.", "He did."]),
-    ("It cost 3.50 in all. Cheap.", ["It cost 3.50 in all.", "Cheap."]),
+    ("K. L. Marten sailed. It rained.", ["K. L. Marten sailed.", "It rained."]),
+    ("One.\u00a0Two.\u2003 Three.\u00a0", ["One.", "Two.", "Three."]),
+    ("A mark\u0002inside. Next.", ["A mark\u0002inside.", "Next."]),
+    ("Add 0.75 litres now. Stir.", ["Add 0.75 litres now.", "Stir."]),
     ("He stopped. and went on.", ["He stopped. and went on."]),
-    ("Chapter One\nIt was late. So late.", ["Chapter One", "It was late.", "So late."]),
+    ("Soup\nPeel them. Boil them.", ["Soup", "Peel them.", "Boil them."]),
     ("“Stop!” He stopped.", ["“Stop!”", "He stopped."]),
     ("(Done.) Next one", ["(Done.)", "Next one"]),
     ("  Odd   spaces.   Here  ", ["Odd   spaces.", "Here"]),
@@ -58,14 +60,15 @@ def test_language(spark):
 
 
 @pytest.mark.parametrize("value, ms", [
-    ("1:02:03.5", 3723500), ("02:03.250", 123250), ("12.5s", 12500), ("2.5min", 150000), ("1.5h", 5400000),
-    ("345ms", 345), ("7", 7000), (" 7 ", 7000), ("soon", None), ("", None), ("1:2:3:4", None), ("1:x", None)])
+    ("2:10:00.25", 7800250), ("09:41.5", 581500), ("0.75s", 750), ("0.1min", 6000), ("0.25h", 900000),
+    ("81ms", 81), ("13", 13000), (" 13 ", 13000), ("later", None), ("", None), ("4:3:2:1", None), ("y:1", None), ("NaN", None)])
 def test_clock(spark, value, ms):
     assert one(spark, X.clock_ms, value) == ms
 
 
 @pytest.mark.parametrize("name, key", [
-    ("Torch.m4b", "torch"), ("Torch_(Unabridged).epub", "torch unabridged"), ("  Stepski  vuk - Hesse.mp3", "stepski vuk hesse")])
+    ("Harbour.ogg", "harbour"), ("Harbour_[Part 2].epub", "harbour part 2"), ("  Crvena  jabuka - Ana.mp3", "crvena jabuka ana"),
+    ("Cafe\u0301 Noir.mp3", "café noir"), ("Pho\u031b\u0309.txt", "phở"), ("x\u0301\u0301y.txt", "x y")])
 def test_names(spark, name, key):
     assert one(spark, X.name_key, name) == key
 
@@ -87,6 +90,13 @@ def test_html(spark):
     assert one(spark, T.html_to_text, html) == "Head&ing\nOne bold, two x\nInline\nnext\n"
 
 
+@pytest.mark.parametrize("html, text", [
+    ("Caf&#233; &eacute;t&#xE9;", "Café été"), ("a &amp;lt; b", "a &lt; b"), ("&rsquo;&middot;&apos;", "’·'"),
+    ("&#128512; & &nonsense; &#0; &#xD800; &#99999999999999999999;", "😀 & &nonsense; &#0; &#xD800; &#99999999999999999999;"), ("R&D", "R&D")])
+def test_entities(spark, html, text):
+    assert one(spark, T.decode_entities, html) == text
+
+
 @pytest.mark.parametrize("raw, kind", [
     (b"ID3" + b"\0" * 20, "mp3"), (b"\xff\xfb" + b"\0" * 20, "mp3"), (b"OggS" + b"\0" * 20, "ogg"), (b"fLaC" + b"\0" * 20, "flac"),
     (b"\x30\x26\xb2\x75" + b"\0" * 20, "wma"), (b"\0\0\0\x20ftypM4B " + b"\0" * 9, "m4b"), (b"RIFF\0\0\0\0WAVEfmt ", "wav"),
@@ -102,7 +112,6 @@ def test_decode_files_from_disk(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"\xef\xbb\xbf" + text.encode("utf-8"))
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe" + text.encode("utf-16-le"))
     (tmp_path / "d.txt").write_bytes(text.encode("cp1250"))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     got = {r.path[-5]: (r.text, r.encoding) for r in S.text_decode(S.read_files(spark, str(tmp_path))).collect()}
     want = "Prvi red teče dalje.\nDrugi šđčćž."
     assert {k: v[0] for k, v in got.items()} == dict.fromkeys("abcd", want)
@@ -117,7 +126,15 @@ def test_content_hash(spark):
     want = [hashlib.sha256(len(small).to_bytes(8, "little") + small).hexdigest(),
             hashlib.sha256(n.to_bytes(8, "little") + big[:k] + big[mid:mid + k] + big[n - k:]).hexdigest()]
     df = spark.createDataFrame([(0, bytearray(small)), (1, bytearray(big))], "i int, content binary")
-    assert [r.hash for r in S.content_hash(df).orderBy("i").collect()] == want
+    got = S.content_hash(df).orderBy("i").collect()
+    assert [r.hash for r in got] == want
+    assert [r.digest for r in got] == [hashlib.sha256(small).hexdigest(), hashlib.sha256(big).hexdigest()]
+
+
+def test_language_counts_the_whole_text(spark):
+    text = " ".join(["lorem ipsum"] * 3000 + ["the and of to was"] * 100)
+    r = T.language(docs(spark, text)).first()
+    assert (r.words, r.hits, r.language) == (6500, 500, "en")
 
 
 def test_margins_and_page_numbers(spark):

@@ -55,10 +55,41 @@ def normal_word(w: Column) -> Column:
     return F.lower(F.translate(w, "'’", ""))
 
 
+def _compositions() -> dict[str, tuple[str, str]]:
+    """Per combining mark: the letters it joins, and what they become."""
+    out: dict[str, tuple[str, str]] = {}
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFC", unicodedata.normalize("NFD", chr(code)))
+        pair = unicodedata.decomposition(chr(code)).split()
+        if parts == chr(code) and len(pair) == 2 and not pair[0].startswith("<"):
+            base, mark = (chr(int(x, 16)) for x in pair)
+            if unicodedata.combining(mark):
+                a, b = out.get(mark, ("", ""))
+                out[mark] = (a + base, b + chr(code))
+    return out
+
+
+COMPOSITIONS = _compositions()
+
+
+def compose(c: Column) -> Column:
+    """Letters followed by combining marks as single letters, where there is one (a decomposed file name)."""
+
+    def joined(acc: Column, mark: Column) -> Column:
+        last = F.right(acc, F.lit(1))
+        new = F.lit(None).cast("string")
+        for m, (source, target) in COMPOSITIONS.items():
+            new = F.when(mark == m, F.when(F.contains(F.lit(source), last), F.translate(last, source, target))).otherwise(new)
+        return F.coalesce(F.concat(F.left(acc, F.length(acc) - 1), new), F.concat(acc, mark))
+
+    whole = F.transform(matches(c, "(?s:\\P{M}?\\p{M}+|\\P{M}+?(?=\\P{M}\\p{M}|$)|\\P{M})"), lambda t: F.when(
+        t.rlike("\\p{M}"), F.aggregate(F.split(F.substring(t, 2, F.length(t)), ""), F.left(t, F.lit(1)), joined)).otherwise(t))
+    return F.when(c.rlike("\\p{M}"), F.array_join(whole, "")).otherwise(c)
+
+
 def name_key(c: Column) -> Column:
     """File name -> comparable name: extension off, runs of letters and digits, lower case, one space."""
-    stem = F.regexp_replace(F.trim(c), "\\.[^.]*$", "")
-    return F.lower(F.trim(F.regexp_replace(stem, "[^\\p{L}\\p{Nd}]+", " ")))
+    return name_key_of_stem(F.regexp_replace(F.trim(c), "\\.[^.]*$", ""))
 
 
 def file_name(c: Column) -> Column:
@@ -75,7 +106,7 @@ def copy_free_key(location: Column) -> Column:
 
 
 def name_key_of_stem(stem: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(stem, "[^\\p{L}\\p{Nd}]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(compose(stem), "[^\\p{L}\\p{Nd}]+", " ")))
 
 
 def natural_key(c: Column) -> Column:

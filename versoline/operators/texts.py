@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,6 @@ BLOCK_ELEMENTS = (
     "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr "
     "li main nav ol p pre section table tbody td tfoot th thead tr ul").split()
 SKIPPED_ELEMENTS = "script style noscript head svg template".split()
-# Named entities decoded besides numeric ones.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
-            "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&copy;": "©"}
 # Regular expressions in order; every one is understood alike by Java and by RE2.
 HTML_STEPS = [
     ("(?s)<!--.*?-->", ""),
@@ -29,6 +28,29 @@ HTML_STEPS = [
 HTML_TIDY = [("[  ]+", " "), (" *\n[ \n]*", "\n"), ("^[ \n]+", ""), ("[ ]+$", "")]
 
 
+def decode_entities(c: Column) -> Column:
+    """Numeric and HTML 4 named entities (and ``&apos;``) in one pass, so that ``&amp;lt;`` becomes ``&lt;``.
+
+    What names no character stays as written.
+    """
+    names = {**name2codepoint, "apos": 0x27}
+    known = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lit(chr(v)) for v in names.values())))
+
+    def character(code: Column) -> Column:
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def decoded(t: Column) -> Column:
+        body = F.substring(t, 2, F.length(t) - 2)
+        number = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, F.length(body)), 16, 10))
+                  .when(body.startswith("#"), F.substring(body, 2, F.length(body))))
+        meant = F.when(number.isNotNull(), character(number.try_cast("bigint"))).otherwise(F.try_element_at(known, body))
+        return F.when(t.startswith("&") & t.endswith(";"), F.coalesce(meant, t)).otherwise(t)
+
+    parts = X.matches(c, "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&")
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Visible text of a page: one line per block, white space runs as one space across inline tags.
 
@@ -36,9 +58,7 @@ def html_to_text(c: Column) -> Column:
     """
     for pattern, to in HTML_STEPS:
         c = F.regexp_replace(c, pattern, to)
-    for entity, to in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(to))
-    c = F.replace(c, F.lit("&amp;"), F.lit("&"))
+    c = decode_entities(c)
     for pattern, to in HTML_TIDY:
         c = F.regexp_replace(c, pattern, to)
     return c
@@ -63,21 +83,26 @@ CLOSERS = "\"'»”’)\\]}"
 OPENERS = "\"'«“‘(\\[—–"
 
 
+# Unicode white space other than the line feed.
+SPACE = " \\t\\x0B\\f\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
 def _sentence_mask(c: Column, abbreviations: list[str]) -> Column:
     """Same text, same length, with U+0002 where white space separates two sentences.
 
     A terminator run ends a sentence when white space and then a sentence opening follow, unless its
-    first mark is the period of an abbreviation or of a single letter.
+    first mark is the period of an abbreviation or of a single letter.  A U+0002 of the text itself counts as U+0003.
     """
+    c = F.translate(c, "\u0002", "\u0003")
     run_char = f"[{TERMINATORS}{CLOSERS}]"
     known = "|".join(sorted(abbreviations, key=len, reverse=True))
     period = f"(?<!(?:^|[^\\p{{L}}])(?iu:{known}|\\p{{L}}))\\."
     ends = (f"(?<![{TERMINATORS}]{run_char}{{0,40}})((?:{period}|[!?…]){run_char}*+)"
-            f"[^\\S\\n](?=[^\\S\\n]*[\\p{{Lu}}\\p{{Nd}}{OPENERS}])")
+            f"[{SPACE}](?=[{SPACE}]*[\\p{{Lu}}\\p{{Nd}}{OPENERS}])")
     marked = F.regexp_replace(c, ends, "$1\u0002")
     # White space next to a separator belongs to no sentence.
-    trailing = F.regexp_replace(marked, "[^\\S\\n](?=[^\\S\\n]*(?:[\\n\u0002]|$))", "\u0002")
-    return F.regexp_replace(trailing, "(?:^|(?<=[\\n\u0002])|\\G)[^\\S\\n]", "\u0002")
+    trailing = F.regexp_replace(marked, f"[{SPACE}](?=[{SPACE}]*(?:[\\n\u0002]|$))", "\u0002")
+    return F.regexp_replace(trailing, f"(?:^|(?<=[\\n\u0002])|\\G)[{SPACE}]", "\u0002")
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", abbreviations: list[str] | None = None) -> DataFrame:
@@ -211,16 +236,14 @@ SIGNATURES = {
     "es": "que los las por con una para del como pero".split(),
     "it": "che non per con una sono come alla nel sua".split(),
 }
-SAMPLE_WORDS = 4_000
 
 
 def language(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Language by function words; null rather than a guess.  One pass in the document's own row."""
-    w = docs.select(key, F.slice(X.matches(F.lower(F.col(text)), "\\p{L}+"), 1, SAMPLE_WORDS + 1).alias("w"))
-    sample = F.slice("w", 1, SAMPLE_WORDS)
+    """Language by function words of the whole text; null rather than a guess.  One pass in the document's own row."""
+    w = docs.select(key, X.matches(F.lower(F.col(text)), "\\p{L}+").alias("w"))
 
     def hits(signature: list[str]) -> Column:
-        return F.size(F.filter(sample, lambda x: x.isin(signature)))
+        return F.size(F.filter("w", lambda x: x.isin(signature)))
 
     counts = F.array(*[hits(s) for s in SIGNATURES.values()])
     c = w.select(key, F.size("w").alias("words"), counts.alias("counts"))

@@ -18,12 +18,15 @@ from versoline.sources import overlay as O
 def text_files(t: Tables):
     loose = F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n\r\n")), F.lit(", "), F.lit(",  \t"))
     content = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(loose, "UTF-8")))
-               .when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(loose, "UTF-16LE"))).otherwise(F.encode(loose, "UTF-8")))
+               .when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(loose, "UTF-16LE")))
+               .when(F.col("doc_id") % 8 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode(loose, "UTF-16BE")))
+               .when(F.col("doc_id") % 8 == 3, F.concat(F.unhex(F.lit("8AE89A20")), F.encode(F.regexp_replace(loose, "[^\\x00-\\x7F]", "?"), "UTF-8")))
+               .otherwise(F.encode(loose, "UTF-8")))
     return t.table("documents").select(F.col("doc_id"), F.concat(F.lit("/in/"), "doc_id", F.lit(".txt")).alias("path"), content.alias("content"))
 
 
-@query("src_text_decode", """SELECT '/in/' || doc_id || '.txt' AS path, CASE doc_id % 4 WHEN 0 THEN 'UTF-8-BOM' WHEN 1 THEN 'UTF-16LE' ELSE 'UTF-8' END AS encoding,
-    array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda b: trim(regexp_replace(b, '[\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}]+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM documents""")
+@query("src_text_decode", """SELECT '/in/' || doc_id || '.txt' AS path, CASE doc_id % 4 WHEN 0 THEN 'UTF-8-BOM' WHEN 1 THEN 'UTF-16LE' ELSE CASE doc_id % 8 WHEN 2 THEN 'UTF-16BE' WHEN 3 THEN 'WINDOWS-1250' ELSE 'UTF-8' END END AS encoding,
+    array_to_string(list_filter(list_transform(string_split(CASE WHEN doc_id % 8 = 3 THEN 'Ščš ' || regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') ELSE text END, chr(10)), lambda b: trim(regexp_replace(b, '[\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}]+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM documents""")
 def _(t: Tables):
     return S.text_decode(text_files(t).drop("doc_id")).select("path", "encoding", "text")
 
@@ -42,12 +45,10 @@ def _(t: Tables):
     return S.format_sniff(f).select("file_id", "kind")
 
 
-# DuckDB has no way from an integer to its eight bytes inside a blob, so the oracle hashes hex digits on
-# its side of the length; the text side is compared as the deduplication key it is.
-@query("src_content_hash", """SELECT min(doc_id) AS keep_id, count(*) AS copies FROM documents GROUP BY text""")
+@query("src_content_hash", """SELECT sha256(text) AS digest, min(doc_id) AS keep_id, count(*) AS copies FROM documents GROUP BY text""")
 def _(t: Tables):
     f = t.table("documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return S.content_hash(f).groupBy("hash").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")).drop("hash")
+    return S.content_hash(f).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
 
 
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import functions as F
 
 from versoline.functions import text as X
@@ -20,9 +22,11 @@ def _html_sql() -> str:
     e = "html"
     for pattern, to in T.HTML_STEPS:
         e = f"regexp_replace({e}, {sql_text(pattern)}, {sql_text(to)}, 'g')"
-    for entity, to in T.ENTITIES.items():
-        e = f"replace({e}, {sql_text(entity)}, {sql_text(to)})"
-    e = f"replace({e}, '&amp;', '&')"
+    names = ", ".join(f"'{n}': {v}" for n, v in {**name2codepoint, "apos": 39}.items())
+    code = f"""CASE WHEN regexp_matches(x, '^&#[xX]') THEN CAST('0x' || regexp_extract(x, '[xX]([0-9a-fA-F]+);$', 1) AS INT)
+        WHEN regexp_matches(x, '^&#') THEN CAST(regexp_extract(x, '([0-9]+);$', 1) AS INT) ELSE MAP {{{names}}}[x[2:-2]] END"""
+    e = (f"array_to_string(list_transform(regexp_extract_all({e}, '&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&'), "
+         f"lambda x: CASE WHEN regexp_matches(x, '^&.*;$') THEN coalesce(chr({code}), x) ELSE x END), '')")
     for pattern, to in T.HTML_TIDY:
         e = f"regexp_replace({e}, {sql_text(pattern)}, {sql_text(to)}, 'g')"
     return e
@@ -131,7 +135,7 @@ _codes = ", ".join(sql_text(k) for k in T.SIGNATURES)
     SELECT *, list_max(list_filter(c, lambda v, i: i <> best)) AS runner FROM (
       SELECT *, list_max(c) AS hits, list_position(c, list_max(c)) AS best FROM (
         SELECT doc_id, len(w) AS words, [{_hits}] AS c FROM (
-          SELECT doc_id, w, w[1:4000] AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+')[1:4001] AS w FROM documents)))))""")
+          SELECT doc_id, w, w AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents)))))""")
 def _(t: Tables):
     return T.language(t.table("documents"))
 

@@ -26,11 +26,7 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism:
-            # Text jobs are heavy per byte: a table of few files would leave cores idle.
-            df = df.repartition(self.spark.sparkContext.defaultParallelism)
-        return df
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def ev(self) -> DataFrame:
@@ -71,8 +67,8 @@ class Tables:
 
     @cached_property
     def points(self) -> DataFrame:
-        """Lookups, in time and in text."""
-        return self.ev.filter("event_type in ('click', 'view')").select(
+        """Lookups, in time and in text: every event is one."""
+        return self.ev.select(
             "event_id", "book_id",
             F.expr("s + 4321").alias("at_ms"),
             F.expr("cast((s + 4321) * 15 div 1000 + 50 as int)").alias("at_char"),
@@ -194,7 +190,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
         FROM (SELECT DISTINCT book_id, CAST(s // {CHAPTER_MS} AS INT) AS chapter_idx FROM ev)"""),
     "points": (["ev"], """
         SELECT event_id, book_id, s + 4321 AS at_ms, CAST((s + 4321) * 15 // 1000 + 50 AS INT) AS at_char
-        FROM ev WHERE event_type IN ('click', 'view')"""),
+        FROM ev"""),
     "sentences": (["ev"], f"""
         SELECT book_id, CAST(row_number() OVER w - 1 AS INT) AS idx, start,
                least(coalesce(lead(start) OVER w, start + 90), start + 90) AS "end",

@@ -24,15 +24,20 @@ def encoding_of(content: Column) -> Column:
             .when(head == "EFBBBF", "UTF-8-BOM").when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("WINDOWS-1250"))
 
 
-def text_decode(files: DataFrame, legacy: str = "windows-1250") -> DataFrame:
+_UPPER = range(0x80, 0x100)
+_CP1250 = "".join(bytes([b]).decode("cp1250", "ignore") or chr(b) for b in _UPPER)
+
+
+def text_decode(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to (path, text, encoding), one line per paragraph.
 
-    Windows-1250 needs ``spark.sql.legacy.javaCharsets``; pass ISO-8859-1 where that is off.
+    Windows-1250 is read as Latin-1 and its upper half translated; the five bytes it leaves open stay control characters.
     """
+    legacy = F.translate(F.decode("content", "ISO-8859-1"), "".join(map(chr, _UPPER)), _CP1250)
     rest2, rest3 = F.expr("substring(content, 3)"), F.expr("substring(content, 4)")
     text = (F.when(F.col("encoding") == "UTF-16LE", F.decode(rest2, "UTF-16LE")).when(F.col("encoding") == "UTF-16BE", F.decode(rest2, "UTF-16BE"))
             .when(F.col("encoding") == "UTF-8-BOM", F.decode(rest3, "UTF-8")).when(F.col("encoding") == "UTF-8", F.col("content").cast("string"))
-            .otherwise(F.decode("content", legacy)))
+            .otherwise(legacy))
     return files.withColumn("encoding", encoding_of(F.col("content"))).select("path", X.collapse_blocks(text).alias("text"), "encoding")
 
 
@@ -55,11 +60,12 @@ def format_sniff(files: DataFrame) -> DataFrame:
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    """SHA-256 over the length (int64, little-endian) and the whole file, or three 1 MiB samples of a large one."""
+    """``digest``: SHA-256 of the whole file, its identity.  ``hash``: the key other stores use, SHA-256 over the length
+    (int64, little-endian) and the whole file, or three 1 MiB samples of a large one; never to tell files apart by."""
     n = F.octet_length("content").cast("bigint")
     big_endian = F.lpad(F.hex(n), 16, "0")
     little = F.unhex(F.array_join(F.transform(F.sequence(F.lit(8), F.lit(1), F.lit(-1)), lambda i: F.substring(big_endian, i * 2 - 1, F.lit(2))), ""))
     middle = F.expr(f"substring(content, cast((octet_length(content) - {SAMPLE}) div 2 + 1 as int), {SAMPLE})")
     tail = F.expr(f"substring(content, octet_length(content) - {SAMPLE} + 1, {SAMPLE})")
     body = F.when(n <= 3 * SAMPLE, F.col("content")).otherwise(F.concat(F.expr(f"substring(content, 1, {SAMPLE})"), middle, tail))
-    return files.withColumn("hash", F.sha2(F.concat(little, body), 256))
+    return files.withColumn("hash", F.sha2(F.concat(little, body), 256)).withColumn("digest", F.sha2("content", 256))
