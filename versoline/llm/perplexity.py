@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,11 +173,11 @@ def train(documents: DataFrame, order: int = 4, max_entries: int = 8_000_000) ->
     weights = contexts.select((F.col("o") - 1).alias("o"), F.col("context").alias("key"), (F.col("freed") / F.col("total")).alias("below"))
     floor = discounts.where("o = 1").select("lang", "size")
     table = shares.join(weights, ["o", "key"], "full").select("o", "key", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("below", F.lit(1.0)).cast("float").alias("below"))
-    table = table.where((F.col("o") <= 2) | (F.col("share") > 0)).toPandas()
+    table = table.where((F.col("o") <= 2) | (F.col("share") > 0)).toArrow()  # columns, not rows
     langs = {int(mix(np.array([r["lang"]], np.int64).view(U64))[0]): r["size"] for r in floor.collect()}
     keys_, share_, below_ = [], [], []
     for o in range(order + 1):
-        part = table[table["o"] == o]
+        part = table.filter(pa.compute.equal(table["o"], o))
         key = part["key"].to_numpy().astype(np.int64).view(U64)
         order_ = np.argsort(key)
         key = key[order_]
