@@ -9,11 +9,12 @@ that, n-grams of the least count in orders three and up are pruned until they fi
 
 *Score.*  The perplexity of a document is that of its characters and end marks, every word of the whole text included.
 
-*Bands.*  Per language, over all documents with ten words or more: the median of the log perplexity and its first and last
-percentile.  The bands lie ``width`` times as far from the median as those percentiles (0.1 at least), so that clean texts of
-the tails, such as those with some lines in another language, stay.  Above the upper band a text is unlike the language; below
-the lower one it repeats what everyone has.  A document also fails if it has fewer than ten words or more than a fifth of them
-lie in five-word windows found twice.
+*Bands.*  Per language, over the documents that pass the base rules: the shortest stretch of log perplexity that holds half of
+them, which junk on one side hardly moves while it is less than half, says which documents are near the bulk (three standard
+deviations; a normal law has half its weight in 1.349).  The bands lie ``width`` times the quartile range of those from their
+median (0.1 at least).  Above the upper band a text is unlike the language; below the lower one it repeats
+what everyone has.  A document also fails if it has fewer than ten words or more than a fifth of them lie in five-word windows
+found twice.
 
 Null texts have no words, null languages are one language of their own; equal ids are scored row by row.
 """
@@ -245,11 +246,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def judge(scored: DataFrame, width: float = 3.0) -> DataFrame:
     """``scored`` with the bands of its language and ``kept``."""
-    at = F.percentile_approx("log_perplexity", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)), 10_000)
-    points = scored.where("n_words >= 10").groupBy("lang").agg(at.alias("at"))
-    bands = points.select("lang", F.expr(f"at[1] - greatest({width} * (at[1] - at[0]), 0.1)").alias("lower_band"),
-                          F.expr(f"at[1] + greatest({width} * (at[2] - at[1]), 0.1)").alias("upper_band"))
-    out = scored.join(bands.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+    sound = scored.where("not base_failed").select("lang", "log_perplexity")
+    cuts = F.percentile_approx("log_perplexity", F.array(*(F.lit(k / 100) for k in range(101))), 10_000)
+    half = "array_min(transform(sequence(0, 50), k -> struct(at[k + 50] - at[k] as length, (at[k + 50] + at[k]) / 2 as middle)))"
+    bulk = sound.groupBy("lang").agg(cuts.alias("at")).select(F.col("lang").alias("of"), F.expr(half).alias("half"))
+    near = F.abs(F.col("log_perplexity") - F.col("half.middle")) <= F.greatest(3 / 1.349 * F.col("half.length"), F.lit(0.1))
+    quartiles = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
+    points = sound.join(bulk, F.col("lang").eqNullSafe(F.col("of"))).where(near).groupBy("of").agg(quartiles.alias("at"))
+    bands = points.select("of", F.expr(f"at[1] - greatest({width} * (at[2] - at[0]), 0.1)").alias("lower_band"),
+                          F.expr(f"at[1] + greatest({width} * (at[2] - at[0]), 0.1)").alias("upper_band"))
+    out = scored.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
