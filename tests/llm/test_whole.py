@@ -1,5 +1,8 @@
 """Cases in which the operators once did less than the whole job."""
 
+import collections
+import inspect
+
 import numpy as np
 
 from conftest import make
@@ -12,3 +15,33 @@ def test_junk_of_a_third_leaves_the_band(spark, prose):
     rows = [*((k, prose(60)) for k in range(100)), *((500 + k, noise()) for k in range(50)), *((900 + k, "too short") for k in range(80))]
     got = {r["doc_id"]: r["kept"] for r in perplexity.perplexity(make(spark, rows)).collect()}
     assert all(got[k] for k in range(100)) and not any(got[500 + k] for k in range(50))
+
+
+def test_order_of_words_counts(spark):
+    usual = ["ab", "cd", "ef", "gh"] * 10
+    rows = [*((k, " ".join(usual)) for k in range(30)), (100, " ".join(sorted(usual, reverse=True)))]
+    got = {r["doc_id"]: r["perplexity"] for r in perplexity.perplexity(make(spark, rows)).collect()}
+    assert got[100] > 1.1 * got[0]
+
+
+def test_every_ngram_is_kept(spark, prose):
+    texts = [prose(50) for _ in range(20)]
+    own = perplexity.sliced(make(spark, list(enumerate(texts))))
+    model = perplexity.train(own)
+    grams = collections.Counter()
+    for t in texts:
+        marked = "\x01" * 3 + t + "\x02"
+        grams.update({(o, marked[k - o + 1 : k + 1]): 1 for o in range(1, 5) for k in range(3, len(marked))})
+    assert {r["o"]: r["count"] for r in model.terms.groupBy("o").count().collect()} == collections.Counter(o for o, _ in grams)
+    assert "max_entries" not in inspect.signature(perplexity.train).parameters
+    # what may follow any three characters sums to one, the unknown character included
+    lang = perplexity.hash_words(["en"])
+    alphabet = sorted(set("".join(texts))) + ["￾"]
+    for context in (texts[0][:3], texts[0][4:9], "���"):
+        p, owner = model.probabilities([context + c for c in alphabet], np.repeat(lang, len(alphabet)))
+        end, _ = model.probabilities([context], lang)
+        assert abs(sum(p[owner == k][len(context)] for k in range(len(alphabet))) + end[-1] - 1) < 1e-9
+    # scores by the join are those of the lookup
+    logs, size = model.log_probability(texts, np.repeat(lang, len(texts)))
+    got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.score(own, model).collect()}
+    assert all(abs(got[k] + logs[k] / size[k]) < 1e-9 for k in range(len(texts)))

@@ -1,13 +1,14 @@
 """N-gram perplexity by modified Kneser-Ney, with a lower and an upper band per language.
 
-*Model.*  Units are the characters of words (runs without ASCII white space), with a start and an end mark; n-grams of orders 1
-to ``order`` are counted over every word of every document, per language, by Spark.  Lower orders hold continuation counts,
-n-grams at the start of a word plain ones.  The three discounts of a language and order come from its counts of counts.  What
-is stored per n-gram is its discounted share and, as a context, its weight for the order below: sorted 64-bit hashes with two
-float columns, one array per order, looked up by binary search.  The arrays grow with the corpus up to ``max_entries``; beyond
-that, n-grams of the least count in orders three and up are pruned until they fit, so what is broadcast is bounded.
+*Model.*  Units are the characters of a document's words (runs without ASCII white space), one blank between two words, with a
+start and an end mark, so n-grams cross the ends of words; n-grams of orders 1 to ``order`` are counted over every document, per
+language.  Lower orders hold continuation counts, n-grams at the start of a document plain ones.  The three discounts of a
+language and order come from its counts of counts.  Every n-gram is kept, as a row of a table partitioned by its hash; nothing
+is pruned, collected or broadcast.  The probability of an n-gram is its discounted share plus its context's weight times the
+probability of its suffix, joined order by order.
 
-*Score.*  The perplexity of a document is that of its characters and end marks, every word of the whole text included.
+*Score.*  The perplexity of a document is that of its characters, blanks and end mark.  Documents are dealt into slices of some
+megabytes; the distinct n-grams of a slice are joined to their probabilities and meet the slice's texts again.
 
 *Bands.*  Per language, over the documents that pass the base rules: the shortest stretch of log perplexity that holds half of
 them, which junk on one side hardly moves while it is less than half, says which documents are near the bulk (three standard
@@ -21,6 +22,7 @@ Null texts have no words, null languages are one language of their own; equal id
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 from versoline.llm.shared import U64, hash_words, mix, slices, stage, texts_of, word_table
 
 START, END = 1, 2
+SLICE = 2_000_000  # bytes of text a worker has in hand
 SYMBOLS = frozenset(b"#*$%&|<>")
 
 
 def characters(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words, each with ``order - 1`` start marks before and an end mark after; the word of each scored
+    """Code points of all strings, each with ``order - 1`` start marks before and an end mark after; the string of each scored
     place; and those places."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
@@ -66,17 +69,21 @@ def keys(symbols: np.ndarray, places: np.ndarray, language: np.ndarray, order: i
     return here, before
 
 
-def language_words(batch: pa.RecordBatch):
-    """Tokens of a batch: word number, document, the distinct (language, word) pairs, their language hash and decoded word."""
-    texts = texts_of(batch)
-    codes, docs, words = word_table(texts)
+def whole_keys(symbols: np.ndarray, places: np.ndarray, language: np.ndarray, order: int) -> np.ndarray:
+    """``keys`` of the highest order alone."""
+    h = language.copy()
+    for o in range(1, order + 1):
+        h += (symbols[places - o + 1] + U64(7)) * U64(pow(0x9E3779B97F4A7C15, o, 1 << 64))
+    return mix(h)
+
+
+def language_texts(batch, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The documents with words: their rows, their words with one blank between, and their language hashes."""
+    plain = [b" ".join(t.split()).decode("utf-8", "replace") for t in texts]
+    rows = np.flatnonzero(np.fromiter(map(len, plain), np.int64, len(plain)))
     names = [x if x is not None else "\x00" for x in batch.column("lang").to_pylist()]
     lang, distinct = pd.factorize(np.array(names, object))
-    pair = lang[docs] * max(1, len(words)) + codes
-    pairs, index = np.unique(pair, return_inverse=True)
-    lang_of, word_of = np.divmod(pairs, max(1, len(words)))
-    lang_hash = hash_words(list(distinct))
-    return texts, codes, docs, index, [words[w].decode("utf-8", "replace") for w in word_of.tolist()], lang_hash[lang_of]
+    return rows, [plain[r] for r in rows.tolist()], hash_words(list(distinct))[lang[rows]]
 
 
 def count(documents: DataFrame, order: int) -> DataFrame:
@@ -100,16 +107,19 @@ def count(documents: DataFrame, order: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
                     held[o] = []
 
-        for batch in slices(batches, "text", 6_000_000):
-            _, _, _, index, words, lang = language_words(batch)
+        for batch in slices(batches, "text", SLICE):
+            _, words, lang = language_texts(batch, texts_of(batch))
             if not words:
                 continue
-            times = np.bincount(index, minlength=len(words))
             symbols, owner, places = characters(words, order)
-            here, before = keys(symbols, places, lang[owner], order)
+            codes, distinct = pd.factorize(whole_keys(symbols, places, lang[owner], order))
+            one = np.empty(len(distinct), np.int64)  # a place of each distinct n-gram; those of lower orders are among their ends
+            one[codes] = np.arange(len(codes))
+            times, lang, places = np.bincount(codes).astype(float), lang[owner[one]], places[one]
+            here, before = keys(symbols, places, lang, order)
             for o in range(1, order + 1):
                 edge = symbols[places - o + 1] == START if o > 1 else np.zeros(len(places), bool)
-                part = merge([[lang[owner], here[o], before[o - 1], here[o - 1], edge, times[owner].astype(float)]])
+                part = merge([[lang, here[o], before[o - 1], here[o - 1], edge, times]])
                 held[o].append(part)
                 if len(held[o]) > 1 and sum(len(p[1]) for p in held[o]) > 3 * max(len(held[o][0][1]), 200_000):
                     held[o] = [merge(held[o])]
@@ -126,66 +136,52 @@ def count(documents: DataFrame, order: int) -> DataFrame:
 @dataclass
 class Model:
     order: int
-    keys: list[np.ndarray]  # sorted, one array per order (0: languages)
-    share: list[np.ndarray]  # discounted share of the n-gram in its context; order 0: the uniform floor
-    below: list[np.ndarray]  # as a context: weight of the order below
+    terms: DataFrame  # o, key, context, suffix, share, weight, floor: every n-gram
+    whole: DataFrame  # key, p: probability of each n-gram of the highest order
 
-    def log_probability(self, words: list[str], lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log probabilities per word, and its number of characters with the end mark."""
-        symbols, owner, places = characters(words, self.order)
+    def probabilities(self, texts: list[str], lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of every character and end mark of a few ``texts``, seen in training or not; and the text of each."""
+        symbols, owner, places = characters(texts, self.order)
         here, before = keys(symbols, places, lang[owner], self.order)
+        spark = self.terms.sparkSession
         p = np.full(len(places), 1e-7)
-        at, ok = self._find(0, here[0])
-        p[ok] = self.share[0][at[ok]]
         for o in range(1, self.order + 1):
-            gram, index = np.unique(here[o], return_inverse=True)
-            at, ok = self._find(o, gram)
-            share = np.where(ok, self.share[o][at] if len(self.keys[o]) else 0.0, 0.0)[index]
-            context, index = np.unique(before[o - 1], return_inverse=True)
-            at, ok = self._find(o - 1, context)
-            weight = np.where(ok, self.below[o - 1][at] if len(self.keys[o - 1]) else 1.0, 1.0)[index]
-            p = share + weight * p
-        n = np.bincount(owner, minlength=len(words))
-        return np.bincount(owner, np.log(np.maximum(p, 1e-300)), len(words)), n
-
-    def _find(self, o: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table = self.keys[o]
-        if not len(table):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return at, table[at] == wanted
-
-
-def train(documents: DataFrame, order: int = 4, max_entries: int = 8_000_000) -> Model:
+            level = self.terms.where(F.col("o") == o)
+            ask = lambda name, of: spark.createDataFrame(pd.DataFrame({name: np.unique(of).view(np.int64)}), f"{name} bigint")  # noqa: B023, E731
+            grams = {r["key"]: r["share"] for r in level.join(ask("key", here[o]), "key").select("key", "share").collect()}
+            contexts = {r["context"]: r for r in level.join(ask("context", before[o - 1]), "context").select("context", "weight", "floor").distinct().collect()}
+            at = [contexts.get(k) for k in before[o - 1].view(np.int64).tolist()]
+            if o == 1:
+                p = np.array([r["floor"] if r else q for r, q in zip(at, p)])
+            share = np.array([grams.get(k, 0.0) for k in here[o].view(np.int64).tolist()])
+            p = share + np.array([r["weight"] if r else 1.0 for r in at]) * p  # a context never seen leaves all to the lower order
+        return p, owner
+
+    def log_probability(self, texts: list[str], lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log probabilities per text, and its number of characters with the end mark."""
+        p, owner = self.probabilities(texts, lang)
+        return np.bincount(owner, np.log(p), len(texts)), np.bincount(owner, minlength=len(texts))
+
+
+def train(documents: DataFrame, order: int = 4) -> Model:
     """Modified Kneser-Ney from counts over all documents."""
     counted = stage(count(documents, order))
     continued = counted.where("o > 1").groupBy((F.col("o") - 1).alias("o"), F.col("suffix").alias("key")).agg(F.count("*").alias("left"))
     grams = stage(counted.join(continued, ["o", "key"], "left").withColumn("a", F.when(F.col("edge") | (F.col("o") == order), F.col("n")).otherwise(F.coalesce("left", "n"))))
-    # pruning: for every order above two, how many entries a least count would leave
-    sizes = grams.groupBy("o", F.least("a", F.lit(64)).alias("a")).agg(F.count("*").alias("n")).collect()
-    cutoff = next((c for c in range(1, 65) if sum(r["n"] for r in sizes if r["o"] <= 2 or r["a"] >= c) <= max_entries), 65)
     spectrum = grams.groupBy("lang", "o").agg(*(F.sum((F.col("a") == i).cast("bigint")).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("size"))
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     ratio = lambda i: F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)), F.lit(0.1)), F.lit(i - 0.1))
     discounts = spectrum.select("lang", "o", "size", *(ratio(i).alias(f"d{i}") for i in (1, 2, 3)))
     valued = grams.join(discounts, ["lang", "o"]).withColumn("d", F.expr("case when a = 1 then d1 when a = 2 then d2 else d3 end"))
     contexts = valued.groupBy("o", "context").agg(F.sum("a").alias("total"), F.sum("d").alias("freed"))
-    shares = valued.where((F.col("o") <= 2) | (F.col("a") >= cutoff)).join(contexts, ["o", "context"]).select("o", "key", ((F.col("a") - F.col("d")) / F.col("total")).alias("share"))
-    weights = contexts.select((F.col("o") - 1).alias("o"), F.col("context").alias("key"), (F.col("freed") / F.col("total")).alias("below"))
-    floor = discounts.where("o = 1").select("lang", "size")
-    table = shares.join(weights, ["o", "key"], "full").select("o", "key", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"), F.coalesce("below", F.lit(1.0)).cast("float").alias("below"))
-    table = table.where((F.col("o") <= 2) | (F.col("share") > 0)).toArrow()  # columns, not rows
-    langs = {int(mix(np.array([r["lang"]], np.int64).view(U64))[0]): r["size"] for r in floor.collect()}
-    keys_, share_, below_ = [], [], []
-    for o in range(order + 1):
-        part = table.filter(pa.compute.equal(table["o"], o))
-        key = part["key"].to_numpy().astype(np.int64).view(U64)
-        order_ = np.argsort(key)
-        key = key[order_]
-        keys_.append(key)
-        share_.append(part["share"].to_numpy()[order_] if o else np.array([1.0 / (langs.get(int(k), 0) + 1) for k in key]))
-        below_.append(part["below"].to_numpy()[order_])
-    return Model(order, keys_, share_, below_)
+    terms = stage(valued.join(contexts, ["o", "context"]).select(
+        "o", "key", "context", "suffix", ((F.col("a") - F.col("d")) / F.col("total")).alias("share"), (F.col("freed") / F.col("total")).alias("weight"),
+        F.when(F.col("o") == 1, 1 / (F.col("size") + 1)).alias("floor")))
+    whole = terms.where("o = 1").select("key", F.expr("share + weight * floor").alias("p"))
+    for o in range(2, order + 1):
+        below = whole.select(F.col("key").alias("suffix"), F.col("p").alias("below"))
+        whole = terms.where(F.col("o") == o).join(below, "suffix").select("key", F.expr("share + weight * below").alias("p"))
+    return Model(order, terms, stage(whole))
 
 
 def base_counts(texts: list[bytes], codes: np.ndarray, docs: np.ndarray) -> dict[str, np.ndarray]:
@@ -222,25 +218,59 @@ def base_counts(texts: list[bytes], codes: np.ndarray, docs: np.ndarray) -> dict
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, the five counts, base_failed, log_perplexity (per character; null without words)."""
-    spread = documents.sparkSession.sparkContext.broadcast(model)  # bounded by max_entries
-    names = ["doc_id", "lang", *FACTS, "log_perplexity"]
+def sliced(documents: DataFrame) -> DataFrame:
+    """slice, doc_id, text, lang, written out: documents dealt into slices of about ``SLICE`` bytes in the order they are read."""
 
     def run(batches):
-        for batch in slices(batches, "text", 6_000_000):
-            texts, codes, docs, index, words, lang = language_words(batch)
-            facts = base_counts(texts, codes, docs)
-            total = size = np.zeros(len(texts))
-            if words:
-                logs, chars = spread.value.log_probability(words, lang)
-                total, size = np.bincount(docs, logs[index], len(texts)), np.bincount(docs, chars[index], len(texts))
-            mean = -total / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(facts[f].astype(np.int64)) for f in FACTS),
-                                              pa.array(mean, pa.float64(), mask=size == 0)], names)
+        for batch in slices(batches, "text", SLICE):
+            name = pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65, np.int64))
+            yield pa.RecordBatch.from_arrays([name, *batch.columns], ["slice", *batch.schema.names])
 
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    out = own.mapInArrow(run, "doc_id bigint, lang string, " + ", ".join(f"{f} bigint" for f in FACTS) + ", log_perplexity double")
+    return stage(own.mapInArrow(run, "slice bigint, doc_id bigint, text string, lang string"))
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, the five counts, base_failed, log_perplexity (per character; null without words).  ``documents`` are
+    ``sliced`` and those that ``model`` counted."""
+    order = model.order
+    names = ["doc_id", "lang", *FACTS, "log_perplexity"]
+    kinds = "doc_id bigint, lang string, " + ", ".join(f"{f} bigint" for f in FACTS) + ", log_perplexity double"
+
+    def ask(batches):
+        for batch in batches:
+            for part in batch.column("slice").unique():
+                own = batch.filter(pa.compute.equal(batch.column("slice"), part))
+                _, words, lang = language_texts(own, texts_of(own))
+                if words:
+                    symbols, owner, places = characters(words, order)
+                    key = pd.unique(whole_keys(symbols, places, lang[owner], order)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part.as_py())), pa.array(key)], ["slice", "key"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, p = right["key"].to_numpy(), right["p"].to_numpy()
+        rank = np.argsort(known)
+        known, logs = known[rank], np.log(p[rank])
+        out = []
+        for batch in slices([b for b in left.combine_chunks().to_batches()], "text", SLICE):
+            texts = texts_of(batch)
+            codes, docs, _ = word_table(texts)
+            facts = base_counts(texts, codes, docs)
+            total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            rows, words, lang = language_texts(batch, texts)
+            if words:
+                symbols, owner, places = characters(words, order)
+                index, distinct = pd.factorize(whole_keys(symbols, places, lang[owner], order).view(np.int64))
+                at = np.searchsorted(known, distinct)
+                assert (known[at] == distinct).all()
+                total[rows] = np.bincount(owner, logs[at][index], len(words))
+                size[rows] = np.bincount(owner, minlength=len(words))
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(facts[f].astype(np.int64)) for f in FACTS),
+                                                   pa.array(-total / np.maximum(size, 1), pa.float64(), mask=size == 0)], names))
+        return pa.Table.from_batches(out)
+
+    asked = documents.mapInArrow(ask, "slice bigint, key bigint").join(model.whole, "key")
+    out = documents.groupBy("slice").cogroup(asked.select("slice", "key", "p").groupBy("slice")).applyInArrow(run, kinds)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -260,8 +290,9 @@ def judge(scored: DataFrame, width: float = 3.0) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def perplexity(documents: DataFrame, order: int = 4, width: float = 3.0, max_entries: int = 8_000_000) -> DataFrame:
+def perplexity(documents: DataFrame, order: int = 4, width: float = 3.0) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, lower_band, upper_band."""
-    scored = stage(score(documents, train(documents, order, max_entries)))
+    own = sliced(documents)
+    scored = stage(score(own, train(own, order)))
     return judge(scored, width).select("doc_id", *FACTS, "base_failed", "kept", F.exp("log_perplexity").alias("perplexity"),
                                        F.exp("lower_band").alias("lower_band"), F.exp("upper_band").alias("upper_band"))
