@@ -2,11 +2,12 @@
 
 import collections
 import inspect
+import math
 
 import numpy as np
 
 from conftest import make
-from versoline.llm import perplexity
+from versoline.llm import near_dups, perplexity
 
 
 def test_junk_of_a_third_leaves_the_band(spark, prose):
@@ -45,3 +46,18 @@ def test_every_ngram_is_kept(spark, prose):
     logs, size = model.log_probability(texts, np.repeat(lang, len(texts)))
     got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.score(own, model).collect()}
     assert all(abs(got[k] + logs[k] / size[k]) < 1e-9 for k in range(len(texts)))
+
+
+def test_sweep_loses_few_links(spark):
+    cut = near_dups.sweep_cut(0.8, 192)
+    least = next(m for m in range(193) if (m / 192 - 1 / 256) * 256 / 255 >= cut)
+    same = 0.8 + 0.2 / 256  # two coordinates that differ may have equal bytes
+    lost = sum(math.comb(192, m) * same**m * (1 - same) ** (192 - m) for m in range(least))
+    assert lost < 2e-4
+    # a pair that agrees in so many coordinates, one band among them, is compared
+    a, b = np.zeros(192, np.uint8), np.zeros(192, np.uint8)
+    b[least:] = 1
+    shared = spark.createDataFrame([(7, 0, b"a"), (7, 0, b"b")], "bucket bigint, band int, node binary")
+    labels = spark.createDataFrame([], "node binary, component binary")
+    signs = spark.createDataFrame([(b"a", a.tobytes()), (b"b", b.tobytes())], "node binary, sign binary")
+    assert least < 138 and near_dups.loose_pairs(shared, labels, signs, cut, 32, 6, None).count() == 1

@@ -13,8 +13,8 @@ bucket keys.  In each bucket every class is compared with its most central one (
 all; a compare is exact, on the texts.  Links of ``threshold`` or more join classes into components.  In buckets that still
 hold several components, the classes outside the largest one are held against the rest by signature, in blocks of bounded
 size: first each against its few most promising partners, then, for what is still loose, against all whose signature does not
-rule out a link (three standard deviations).  So components come out as if all pairs had been compared, up to a chance of about
-1e-3 per link of exactly 0.8 (1e-4 at 0.82) that no other link stands in for; 32 bands of 6 find a pair of similarity 0.8 with
+rule out a link (3.8 standard deviations).  So components come out as if all pairs had been compared, up to a chance of about
+1e-4 per link of exactly 0.8 (3e-5 at 0.81) that no other link stands in for; 32 bands of 6 find a pair of similarity 0.8 with
 probability 0.9999.
 
 Null and empty texts have no shingle: each is a class of its own.  Equal ids with different texts are different documents;
@@ -261,6 +261,11 @@ def loose_pairs(shared: DataFrame, labels: DataFrame, signs: DataFrame, cut: flo
     return dealt.groupBy("task").applyInPandas(pairs, "a binary, b binary").distinct()
 
 
+def sweep_cut(threshold: float, coordinates: int) -> float:
+    """The share of equal coordinates under which a link is ruled out: 3.8 standard deviations below ``threshold``."""
+    return threshold - 3.8 * (threshold * (1 - threshold) / coordinates) ** 0.5
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
     """One row per document: doc_id, node, class_id (least id of its class), n_links (links of its text to other texts that
     were found on the way to the classes; copies of a text count once)."""
@@ -288,7 +293,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 3
     signs = sketched.where(F.length("node") > 0).groupBy("node").agg(F.first("sign").alias("sign"))
     links = stage(compare(star, texts).where(F.col("similarity") >= threshold).select("a", "b"))
     labels = components(links)
-    cut = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    cut = sweep_cut(threshold, bands * rows)
     for best in (3, None):
         late = compare(loose_pairs(shared, labels, signs, cut, bands, rows, best), texts).where(F.col("similarity") >= threshold)
         late = stage(late.select("a", "b"))
