@@ -3,11 +3,12 @@
 import collections
 import inspect
 import math
+import textwrap
 
 import numpy as np
 
 from conftest import make
-from versoline.llm import near_dups, perplexity
+from versoline.llm import licences, near_dups, perplexity
 
 
 def test_junk_of_a_third_leaves_the_band(spark, prose):
@@ -61,3 +62,50 @@ def test_sweep_loses_few_links(spark):
     labels = spark.createDataFrame([], "node binary, component binary")
     signs = spark.createDataFrame([(b"a", a.tobytes()), (b"b", b.tobytes())], "node binary, sign binary")
     assert least < 138 and near_dups.loose_pairs(shared, labels, signs, cut, 32, 6, None).count() == 1
+
+
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_wrapped_licences(spark):
+    comment = lambda text, mark: "\n".join(f"{mark} {line}" for line in text.split("\n"))
+    rows, wanted = [], {}
+    for text, licence in ((MIT, "MIT"), (GPL, "GPL-3.0-or-later"), (" ".join(GPL.split()), "GPL-3.0-or-later"), (GPL.replace(": you", "; you"), "GPL-3.0-or-later")):
+        for version in (text, comment(text, "#"), comment(text, " *"), text.replace("\n", "\r\n")):
+            rows.append((len(rows), version))
+            wanted[len(rows) - 1] = licence
+    for licence, parts in licences.RULES:
+        whole = [licences.SENTENCES[p][0] for p in parts]
+        for width in (24, 70):
+            rows.append((len(rows), "\n".join(textwrap.fill(f"{k}. {s}.", width) for k, s in enumerate(whole, 1))))
+            wanted[len(rows) - 1] = licence
+    rows.append((len(rows), "licensed under\n\nthe mit license version"))
+    wanted[len(rows) - 1] = ""
+    got = {r["doc_id"]: (r["licences"], r["matched"]) for r in licences.scan(make(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == wanted and all(got[k][1] == wanted[k] for k in wanted)

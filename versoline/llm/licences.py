@@ -1,15 +1,19 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences (line ends, and white space after ``. ! ? ; :``); a sentence is lower-cased and everything but
-ASCII letters and digits becomes one blank.  Sentences found in the list below become their identifier, all others are
-dropped.  The sequence of identifiers is then matched against ordered rules, longest first: where a rule's identifiers stand
-one after the other, they become its licence.  Identifiers that no rule took stay as parts.
+A text is cut into pieces (line ends, and white space after ``. ! ? ; :``); a piece is lower-cased and everything but ASCII
+letters and digits becomes one blank.  A sentence of the list below is found where it equals a piece or a run of pieces that
+only single line ends part, as in a text wrapped over lines; blank lines and the sentence marks end a run, except inside a
+sentence that has such a mark itself.  Sentences found become their identifier, all others are dropped.  The sequence of
+identifiers is then matched against ordered rules, longest first: where a rule's identifiers stand one after the other, they
+become its licence.  Identifiers that no rule took stay as parts.  The oracle knows sentences on one line only.
 
 Everything is column expressions on whole texts: no shuffle, no Python.  Null and empty texts have no sentence.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ SENTENCES = {
     "cc-by-nc-ref": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc0-ref": ["released under cc0 1 0", "this work is dedicated to the public domain"],
 }
+#: Words of a listed sentence between which its standard wording has a colon or semicolon.
+MARKED = ["free software you can"]
 #: Licences by their ordered sentences.
 RULES = [
     ("Apache-2.0", ["apache-ref", "apache-comply", "apache-copy", "apache-url", "apache-as-is", "apache-see"]),
@@ -55,14 +61,26 @@ RULES = [
 ]
 
 
+def pattern() -> str:
+    """Any listed sentence, the longest first, between line ends; one line end may stand for a blank."""
+    known = sorted((sentence for each in SENTENCES.values() for sentence in each), key=len, reverse=True)
+    wrapped = [re.sub(" ", r"[ \\n]", s) for s in known]
+    for words in MARKED:
+        first, last = words.rsplit(" you ", 1)
+        at = re.sub(" ", r"[ \\n]", first), re.sub(" ", r"[ \\n]", f"you {last}")
+        wrapped = [s.replace(r"[ \n]".join(at), r"(?: |\n\n?)".join(at)) for s in wrapped]
+    return r"(?<=\n)(?:" + "|".join(wrapped) + r")(?=\n)"
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), licences (distinct, sorted, joined by commas; empty if none), matched (licences and
     left-over parts in text order)."""
     of = {sentence: name for name, known in SENTENCES.items() for sentence in known}
     names = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
-    cut = F.split(F.regexp_replace(F.col("text").cast("string"), r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.transform(F.filter(plain, lambda s: s.isin(list(of))), lambda s: names[s])
+    marked = F.regexp_replace(F.lower(F.col("text").cast("string")), r"[.!?;:][ \t\r\n]+", "\n\n")  # a blank line ends a run
+    plain = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(marked, r"[^a-z0-9\n]+", " "), r" *\n *", "\n"), F.lit("\n"))
+    plain = F.regexp_replace(plain, r"^\n +| +\n$", "\n")
+    known = F.transform(F.regexp_extract_all(plain, F.lit(pattern()), F.lit(0)), lambda s: names[F.regexp_replace(s, "\n+", " ")])
     found = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(known, F.array().cast("array<string>")).alias("known"))
     line = F.concat(F.lit(" "), F.array_join(F.transform("known", lambda k: F.concat(F.lit("<"), k, F.lit(">"))), " "), F.lit(" "))
     for licence, parts in sorted(RULES, key=lambda rule: -len(rule[1])):
