@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoline.llm import bpe, licences, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
+from versoline.llm import bpe, infill, licences, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
 from versoline.llm.shared import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op9_toxicity(table) -> DataFrame:
 def op10_suffix_array_dedup(table) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return suffixes.repeats(table("documents"))
+
+
+@query("op12_fill_in_middle", infill.ORACLE)
+def op12_fill_in_middle(table) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
+    return infill.digests(table("documents"))
