@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoline.llm import bpe, infill, licences, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
+from versoline.llm import bpe, conversations, infill, licences, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
 from versoline.llm.shared import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op10_suffix_array_dedup(table) -> DataFrame:
     return suffixes.repeats(table("documents"))
 
 
+@query("op11_conversation_repair", conversations.ORACLE)
+def op11_conversation_repair(table) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    return conversations.damaged_and_repaired(table("conversations"))
+
+
 @query("op12_fill_in_middle", infill.ORACLE)
 def op12_fill_in_middle(table) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
