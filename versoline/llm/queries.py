@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoline.llm import bpe, conversations, infill, licences, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
+from versoline.llm import bpe, conversations, infill, licences, maxent, near_dups, ordering, packing, perplexity, quality, suffixes, topk, toxicity
 from versoline.llm.shared import bound_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op11_conversation_repair(table) -> DataFrame:
 def op12_fill_in_middle(table) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
     return infill.digests(table("documents"))
+
+
+@query("op13_lm_scoring")
+def op13_lm_scoring(table) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return maxent.scores(table("documents"))
