@@ -6,6 +6,7 @@ into buckets along its own order, each bucket is processed on its own task, and
 row per bucket carries the state from bucket to bucket.  Only those summaries meet on one task.
 """
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,13 +172,16 @@ def scan(
     return joined.select(*kept, *out)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate once and go on from the written copy (a reliable checkpoint).
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write an intermediate to the shared checkpoint folder once and go on from the written copy, in a directory per value of ``by``.
 
     Scans read their input twice; without a cut, nested scans would plan their inputs 2^depth times.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df: DataFrame, cols: list[str]) -> DataFrame:

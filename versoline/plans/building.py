@@ -97,17 +97,42 @@ def _(t: Tables):
     return A.predict(points(t), t.maps, t.chapters, t.timeline_books).select("event_id", "book_id", "chapter_idx", "at_ms", "char_offset")
 
 
-@query("anc_consistent_run")
+def heaviest_sql(source: str, keys: str, x: str, y: str, weight: str, on_equal: str) -> str:
+    """The heaviest rising chain per group, row by row with everything before it looked at; ``on_equal`` says when a later one of equal sum wins."""
+    better = f"lambda p, q: CASE WHEN p = 0 OR bs[q] > bs[p] OR (bs[q] = bs[p] AND {on_equal}) THEN q ELSE p END"
+    order = f"ORDER BY {x}, {y}, {weight}"
+    return f"""SELECT * FROM (WITH RECURSIVE
+      l AS (SELECT {keys}, list({x} {order}) AS xs, list({y} {order}) AS ys, list({weight} {order}) AS ws FROM ({source}) GROUP BY ALL),
+      s AS (SELECT {keys}, xs, ys, ws, 0 AS n, []::DOUBLE[] AS bs, []::INT[] AS cs FROM l
+        UNION ALL SELECT {keys}, xs, ys, ws, n + 1, list_append(bs, ws[n + 1] + CASE WHEN c > 0 THEN bs[c] ELSE 0 END), list_append(cs, c) FROM (
+          SELECT *, list_reduce(list_prepend(0, list_filter(range(1, n + 1), lambda i: xs[i] < xs[n + 1] AND ys[i] < ys[n + 1])), {better})::INT AS c FROM s WHERE n < len(xs))),
+      f AS (SELECT {keys}, xs, ys, ws, cs, list_reduce(range(1, n + 1), {better})::INT AS k FROM s WHERE n = len(xs)),
+      g AS (SELECT * FROM f UNION ALL SELECT {keys}, xs, ys, ws, cs, cs[k] FROM g WHERE cs[k] > 0)
+      SELECT {keys}, xs[k] AS {x}, ys[k] AS {y}, ws[k] AS {weight} FROM g)"""
+
+
+def consistent_sql(source: str) -> str:
+    run = heaviest_sql(f"SELECT * FROM ({source}) WHERE confidence > 0", "book_id, chapter_idx", "audio_ms", "char_offset", "confidence", "false")
+    return f"""{run} UNION ALL SELECT book_id, chapter_idx, m.audio_ms, m.char_offset, m.confidence FROM (
+      SELECT book_id, chapter_idx, arg_min({{'audio_ms': audio_ms, 'char_offset': char_offset, 'confidence': confidence}}, (audio_ms, char_offset)) AS m FROM ({source}) GROUP BY 1, 2 HAVING max(confidence) <= 0)"""
+
+
+@query("anc_consistent_run", consistent_sql("SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM anchors"), ["anchors"])
 def _(t: Tables):
     return A.consistent_run(t.anchors.drop("event_id"))
 
 
-@query("anc_merge_disagreement")
+# Every anchor is the window's: what the map took is accepted, the rest refused.
+register_sql("outvoted", ["anchors", "maps"], """SELECT book_id, chapter_idx FROM (SELECT book_id, chapter_idx, count(m.event_id) AS a, count(*) - count(m.event_id) AS r
+    FROM anchors x LEFT JOIN (SELECT event_id FROM maps) m USING (event_id) GROUP BY 1, 2) WHERE r > a AND r > 1""")
+
+
+@query("anc_merge_disagreement", f"""SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM maps ANTI JOIN outvoted USING (book_id, chapter_idx)
+    UNION ALL {consistent_sql("SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM anchors SEMI JOIN outvoted USING (book_id, chapter_idx)")}""", ["anchors", "maps", "outvoted"])
 def _(t: Tables):
     a = t.anchors.drop("event_id")
     refused = t.anchors.join(t.maps.select("event_id"), "event_id", "left_anti").drop("event_id")
-    recent = t.maps.filter("event_id % 19 = 0").drop("event_id")
-    return A.merge_disagreement(t.maps.drop("event_id"), recent, refused.select(*a.columns))
+    return A.merge_disagreement(t.maps.drop("event_id"), t.maps.drop("event_id"), refused.select(*a.columns))
 
 
 register_sql("some_lengths", ["all_chapters"], "SELECT book_id, chapter_idx, CAST(chapter_idx * 600000 AS BIGINT) AS start_ms, CAST(chapter_idx * 600000 + (book_id * 7 + chapter_idx * 13) % 11 * 50000 AS BIGINT) AS end_ms FROM all_chapters")

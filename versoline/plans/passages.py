@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from versoline.operators import locate as Q
+from versoline.plans.building import heaviest_sql
 from versoline.plans.registry import query
 from versoline.plans.timeline import CHAR_TO_MS
 from versoline.plans.views import Tables, register_sql
@@ -78,7 +79,9 @@ def _(t: Tables):
     return unique_pairs(t)
 
 
-@query("loc_chain")
+# Among chains of equal length the lower place on the left wins, as in the operator.
+@query("loc_chain", f"""SELECT c.pair_id, u.run, c.l_pos, c.r_pos FROM ({heaviest_sql("SELECT pair_id, r_pos, l_pos, 1::DOUBLE AS one FROM unique_pairs", "pair_id", "r_pos", "l_pos", "one", "ys[q] < ys[p]")}) c
+    JOIN unique_pairs u USING (pair_id, r_pos, l_pos)""", ["unique_pairs"])
 def _(t: Tables):
     return Q.chain(unique_pairs(t))
 
