@@ -298,25 +298,14 @@ def segments(chain_: DataFrame, ends: DataFrame, keys: list[str], min_frames: in
              lo: float = 4, hi: float = 30) -> DataFrame:
     """Cut a chain into segments of at least ``min_frames`` and judge each by its length and rate.
 
-    ``ends(keys, letters, frames)`` are the lengths of the two sides.  The cut is a fold whose state is one
-    frame number, so a chain streams through.  Head and tail are refused only when too fast.
+    ``ends(keys, letters, frames)`` are the lengths of the two sides.  A cut jumps to the first frame far enough on;
+    which frames are met is found by doubling the jumps.  Head and tail are refused only when too fast.
     """
-    schema = chain_.select(*keys, "letter", "frame").schema
-
-    class Cut:
-        def __init__(self):
-            self.last = None
-
-        def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-            keep = []
-            for f in pdf["frame"]:
-                take = self.last is None or f - self.last >= min_frames
-                if take:
-                    self.last = f
-                keep.append(take)
-            return pdf[np.asarray(keep, dtype=bool)]
-
-    cut = P.fold_in_order(chain_.select(*keys, "letter", "frame"), keys, ["frame"], Cut, schema)
+    own = P.stage(chain_.select(*keys, "letter", "frame"))
+    places = P.stage(own.select(*keys, "frame").distinct().withColumn("__need", F.col("frame") + min_frames))
+    nodes = P.bracket(places, places.select(*keys, "frame"), keys, "__need", "frame", [], min_frames)
+    kept = P.on_path(nodes.withColumn("__next", P.at_or_after("frame", "__need")["frame"]), keys, "frame", "__next")
+    cut = P.stage(own.join(kept, [*keys, "frame"], "left_semi").groupBy(*keys, "frame").agg(F.min("letter").alias("letter")))
     s = P.scan(cut, keys, ["frame"], P.slice_of("frame", 50_000 * 20), {
         "__pl": P.previous(F.col("letter")), "nl": P.following(F.col("letter")), "nf": P.following(F.col("frame"))})
     s = s.join(ends, keys)

@@ -256,6 +256,24 @@ def nearest(on: str, at: str, lo: str = "lo", hi: str = "hi") -> Column:
     return F.when(below.isNull() | (above < below), F.col(hi)).otherwise(F.col(lo))
 
 
+def on_path(nodes: DataFrame, keys: list[str], at: str, to: str) -> DataFrame:
+    """(keys, at) of the nodes met on the way from each group's first node, jump by jump, without walking a group in order.
+
+    ``nodes`` has one row per (keys, at); ``to`` is the ``at`` a node jumps to, further on, or null.  Jumps are doubled until none is
+    left; then the marked nodes are spread by the longest jumps first, so a way of n jumps takes log n joins.
+    """
+    jumps = stage(nodes.filter(F.col(to).isNotNull()).select(*keys, F.col(at).alias("__from"), F.col(to).alias("__to")))
+    levels = []
+    while not jumps.isEmpty():
+        levels.append(jumps)
+        more = jumps.select(*keys, F.col("__to").alias("__end"), F.col("__from").alias("__to"))
+        jumps = stage(jumps.join(more, [*keys, "__to"]).select(*keys, "__from", F.col("__end").alias("__to")))
+    marked = stage(nodes.groupBy(*keys).agg(F.min(at).alias("__from")))
+    for jumps in reversed(levels):
+        marked = stage(marked.unionByName(marked.join(jumps, [*keys, "__from"]).select(*keys, F.col("__to").alias("__from"))))
+    return marked.withColumnRenamed("__from", at)
+
+
 def fold_in_order(df: DataFrame, keys: list[str], order: list[str], step, schema: str) -> DataFrame:
     """Order-dependent fold per group, streamed batch by batch with constant state.
 
