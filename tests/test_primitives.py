@@ -78,3 +78,15 @@ def test_fold_and_groups_survive_batch_borders(spark):
         assert {(r.k, r.p) for r in kept} == {(k, max(r[1] for r in rows(3) if r[0] == k)) for k in (1, 2)}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_ranges_of_one_prefix_are_even(spark):
+    from versoline.operators import texts as T
+
+    n = 100_000
+    names = spark.range(n).select(F.lit("one folder").alias("folder"), F.concat(F.lit("A very long beginning that all names share, Part "), F.col("id")).alias("name"))
+    placed = T.natural_order(names.repartition(7), ["folder"], "name", "name")
+    wrong = placed.filter(F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint") != F.col("place")).count()
+    assert wrong == 0 and placed.count() == n
+    sizes = [r["count"] for r in P.sliced_by_rank(names, ["folder"], ["name"]).groupBy("__range").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * n / len(sizes)

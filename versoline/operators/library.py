@@ -318,7 +318,7 @@ def concat_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     key = X.natural_key(F.col("file_name"))
     f = files.withColumn("__ms", F.rint("length_ms").cast("bigint")).withColumn("__k", key)
-    s = P.scan(f, ["book_id"], ["__k", "file_name"], F.slice("__k", 1, 8), {
+    s = P.scan_ranges(f, ["book_id"], ["__k", "file_name"], {
         "__i": P.row_index(), "__end": P.running_sum(F.col("__ms"))})
     chapters = s.select(
         "book_id", F.col("__i").cast("int").alias("chapter_idx"),
@@ -340,7 +340,7 @@ def chapters_from_marks(marks: DataFrame, texts: DataFrame, spine: DataFrame) ->
     per_doc = spine.join(marks.select("book_id").distinct(), "book_id", "left_anti").groupBy(
         "book_id", F.col("text_start").alias("offset"), "spine_idx").agg(F.first(F.concat(F.lit("Section "), F.col("spine_idx") + 1)).alias("title"))
     m = named.withColumn("spine_idx", F.lit(0)).unionByName(per_doc)
-    s = P.scan(m, ["book_id"], ["offset", "spine_idx"], P.slice_of("offset", 1 << 20), {
+    s = P.scan_ranges(m, ["book_id"], ["offset", "spine_idx"], {
         "__i": P.row_index(), "__n": P.following(F.col("offset"))})
     return s.join(texts.select("book_id", "text_length"), "book_id").select(
         "book_id", F.col("__i").cast("int").alias("chapter_idx"), numbered(F.col("title"), F.col("__i")).alias("title"),
@@ -383,9 +383,9 @@ def chapters_from_anchors(text_chapters: DataFrame, anchors: DataFrame, duration
     b = P.bracket(anchors, c, ["book_id"], "char_offset", "__s", ["__e", "title"], 60_000)
     starts = b.filter("char_offset < lo.__e").groupBy("book_id", F.col("lo.__s").alias("from")).agg(
         F.min_by("audio_ms", F.struct("char_offset", "audio_ms")).alias("at"), F.first("lo.title").alias("title"))
-    s = P.scan(starts, ["book_id"], ["from"], P.slice_of("from", 1 << 20), {"__m": P.max_before(F.col("at"))})
+    s = P.scan_ranges(starts, ["book_id"], ["from"], {"__m": P.max_before(F.col("at"))})
     s = s.filter("__m is null or at > __m").drop("__m")
-    s = P.scan(s, ["book_id"], ["from"], P.slice_of("from", 1 << 20), {"__i": P.row_index(), "__n": P.following(F.col("at"))})
+    s = P.scan_ranges(s, ["book_id"], ["from"], {"__i": P.row_index(), "__n": P.following(F.col("at"))})
     start = F.when(F.col("__i") == 0, F.lit(0)).otherwise(F.col("at"))
     got = s.join(durations.select("book_id", "duration_ms"), "book_id").select(
         "book_id", F.col("__i").cast("int").alias("chapter_idx"), "title", start.alias("start_ms"),
@@ -467,7 +467,7 @@ def shelf_series(books: DataFrame) -> DataFrame:
     b = books.withColumn("shelf", F.coalesce("series", F.lit("")))
     number = F.when(F.col("series").isNull(), F.lit(0.0)).otherwise(F.coalesce("seq_no", F.lit(float("inf"))))
     b = b.withColumn("__n", number).withColumn("__t", F.when(F.col("series").isNull(), F.lower("title")).otherwise(F.col("title")))
-    s = P.scan(b, ["shelf"], ["__n", "__t", "book_id"], F.struct("__n", F.substring("__t", 1, 8)), {"position": P.row_index()})
+    s = P.scan_ranges(b, ["shelf"], ["__n", "__t", "book_id"], {"position": P.row_index()})
     return s.drop("__n", "__t")
 
 

@@ -172,6 +172,22 @@ def scan(
     return joined.select(*kept, *out)
 
 
+def sliced_by_rank(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "__range") -> DataFrame:
+    """Stage ``df`` with the number of the range of (keys, order) a row falls into, for orders that no arithmetic cuts evenly.
+
+    Spark samples the splitters, so a group's ranges follow its own rows however much of its names' beginnings they share; only rows
+    equal in all of ``keys`` and ``order`` stay together.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordering = [_col(c).asc_nulls_first() for c in order]
+    return stage(df.repartitionByRange(ranges, *[F.col(k) for k in keys], *ordering).withColumn(name, F.spark_partition_id()))
+
+
+def scan_ranges(df: DataFrame, keys: list[str], order: list[Column | str], ops: dict[str, Op]) -> DataFrame:
+    """``scan`` over ranges with sampled splitters: one carried row per range and group, whatever the order is made of."""
+    return scan(sliced_by_rank(df, keys, order), keys, order, F.col("__range"), ops).drop("__range")
+
+
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write an intermediate to the shared checkpoint folder once and go on from the written copy, in a directory per value of ``by``.
 

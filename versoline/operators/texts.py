@@ -265,3 +265,9 @@ def series_split(df: DataFrame, col: str) -> DataFrame:
         numbered, F.trim(F.regexp_extract(first, "^(.*)#[^#]*$", 1))).otherwise(first)))
     d = d.withColumn("sequence", F.when((F.trim(col) != "") & numbered, F.trim(F.regexp_extract(first, "#([^#]*)$", 1))))
     return d.withColumn("seq_no", F.col("sequence").try_cast("double"))
+
+
+def natural_order(files: DataFrame, keys: list[str], name: str, path: str) -> DataFrame:
+    """Place of every file among its ``keys`` in natural order of ``name``, ``path`` deciding; a folder of any size lies in many ranges."""
+    named = files.withColumn("__k", X.natural_key(F.col(name)))
+    return P.scan_ranges(named, keys, ["__k", path], {"place": P.row_index()}).drop("__k")

@@ -160,8 +160,7 @@ def _(t: Tables):
         THEN {'c': '0', 'n': length(ltrim(p, '0')), 'd': ltrim(p, '0')} ELSE {'c': upper(p), 'n': 0, 'd': ''} END) AS k FROM files)""", ["files"])
 def _(t: Tables):
     f = t.files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path", X.file_name(F.col("path")).alias("name"))
-    s = P.scan(f, ["folder"], [X.natural_key(F.col("name")), F.col("path")], F.slice(X.natural_key(F.col("name")), 1, 8), {"place": P.row_index()})
-    return s.select("folder", "path", "place")
+    return T.natural_order(f, ["folder"], "name", "path").select("folder", "path", "place")
 
 
 SQL_WORDS = """list_filter(list_transform(regexp_extract_all(strip_accents({0}), '[\\p{{L}}\\p{{Nd}}''’]+'), lambda w: lower(replace(replace(w, '''', ''), '’', ''))), lambda w: w <> '')"""

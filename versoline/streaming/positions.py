@@ -177,7 +177,7 @@ def chapter_resume(events: DataFrame, within: int = 20_000) -> DataFrame:
     can still be stored: an enter consumes it, a leave near the end or out of range removes it.
     """
     keyed = events.withColumn("__kept", F.when((F.col("kind") == "leave") & _worth_keeping(within), F.col("position")))
-    s = P.scan(keyed, ["book_id", "chapter_idx"], ["seq"], P.slice_of("seq", 1 << 20), {"resume_at": P.previous(F.col("__kept"))})
+    s = P.scan_ranges(keyed, ["book_id", "chapter_idx"], ["seq"], {"resume_at": P.previous(F.col("__kept"))})
     return s.filter("kind = 'enter'").select("book_id", "chapter_idx", "seq", "resume_at")
 
 
