@@ -1,23 +1,24 @@
 """Finding noisy passages in a large corpus, and refusing ambiguous answers.
 
-A passage is matched by local alignment (match +2, mismatch -1, gap -1).  Aligning every passage with
-every document would be a cross join; instead candidate windows come from an inverted-index join that
-provably loses nothing:
-
-* a match of confidence c matches at least t = ceil(c * n) of the n passage words, so it matches at least
-  h of any n - t + h of them; only the rarest n - t + h words of a passage are looked up (h = t / 2), and
-  a window with fewer than h of them is passed over;
-* such a match spans at most n * (3 - 2c) document words, so with buckets of that reach it lies in one
-  bucket and the next, and a window of two buckets gives the same score, ends and ties as the document.
+A passage is matched by local alignment (match +2, mismatch -1, gap -1).  Passages are a stated query set, looked for in blocks of
+bounded size; the corpus is read once per block and never shuffled.  Aligning every passage with every document would be far too
+much; instead two bounds that lose nothing pick the stretches of a document worth aligning:
+
+* an alignment spends at least 1 on every word of its stretch that is no word of the passage and wins at most 2 on any other, so its
+  score is at most the stretch's sum of these; only positions of passage words are looked at to find all stretches that reach a sum;
+* a score of s needs s / 2 words of the passage, so one of its rarest n - s / 2 + 1 words; where these are few, only their
+  surroundings are looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,31 +64,6 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", z.alias("z")).select("doc_id", F.filter(words, lambda e: e["v"] != "").alias("words"))
 
 
-def _seeded(queries: DataFrame, documents: DataFrame, need: Column, reach: Column) -> DataFrame:
-    """Windows that may hold an alignment matching ``need`` words and spanning at most ``reach`` words.
-
-    Returns (query_id, doc_id, q, from_tok, to_tok); windows overlap, so an alignment is whole in one.
-    """
-    q = queries.select("query_id", X.words(F.col("text")).alias("q")).filter(F.size("q") > 0)
-    q = q.withColumn("n", F.size("q")).withColumn("need", need).withColumn("reach", reach).filter("need <= n")
-    q = P.stage(q.withColumn("hits", F.ceil(F.col("need") / 2).cast("int")))
-    occ = documents.select("doc_id", F.posexplode("words.v").alias("tok_idx", "value"))
-    positions = q.select("query_id", F.posexplode("q").alias("i", "value"))
-    vocabulary = positions.select("value").distinct()
-    df = occ.select("value").join(vocabulary, "value", "left_semi").groupBy("value").agg(F.count("*").alias("df"))
-    ranked = positions.join(df, "value", "left").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "value", "i"))).alias("r"))
-    prefix = F.slice("r", 1, F.col("n") - F.col("need") + F.col("hits"))
-    rare = P.stage(ranked.join(q.select("query_id", "n", "need", "hits", "reach"), "query_id").select(
-        "query_id", "reach", F.explode(F.array_distinct(F.transform(prefix, lambda e: e["value"]))).alias("value")))
-    per_bucket = occ.join(rare, "value").groupBy("query_id", "doc_id", F.expr("tok_idx div reach").alias("b")).agg(F.count("*").alias("k"))
-    # An alignment lies in one bucket and the next: a bucket counts for the window it opens and the one before.
-    pairs = per_bucket.select("query_id", "doc_id", "k", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("b")).filter("b >= 0")
-    seen = pairs.groupBy("query_id", "doc_id", "b").agg(F.sum("k").alias("k"))
-    return seen.join(q, "query_id").filter("k >= hits").select(
-        "query_id", "doc_id", "q", (F.col("b") * F.col("reach")).alias("from_tok"), ((F.col("b") + 2) * F.col("reach")).alias("to_tok"))
-
-
 # --- alignment of one window ------------------------------------------------------------------
 
 def _align(query: list[int], windows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,82 +99,256 @@ def _align(query: list[int], windows: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(best)
 
 
-MATCH_SCHEMA = "query_id bigint, doc_id bigint, score int, n int, tok int, last_tok int, char_offset int, end_offset int, q_start int, q_end int"
-
-
-def _aligned(windows: DataFrame) -> DataFrame:
-    """Align every (query_id, doc_id, q, from_tok, words, enough) row; rows are independent of each other."""
+FOUND_SCHEMA = "query_id bigint, doc_id bigint, score int, n int, tok int, last_tok int, q_start int, q_end int"
+#: Words of one block of passages; a single longer passage is a block of its own.
+BLOCK_WORDS = 200_000
+
+
+def _stretches(places: np.ndarray, enough: int) -> list[tuple[int, int]]:
+    """Stretches (first, last place) that hold every run of words whose sum, 2 per place given and -1 per other, is ``enough``."""
+    if 2 * len(places) < enough:
+        return []
+    rise = 3 * np.arange(len(places)) - places
+    ending = rise - np.minimum.accumulate(rise) + 2
+    starting = np.maximum.accumulate(rise[::-1])[::-1] - rise + 2
+    held = ending + starting - 2 >= enough
+    if not held.any():
+        return []
+    joined = held[:-1] & held[1:] & (ending[:-1] + starting[1:] - (np.diff(places) - 1) >= enough)
+    firsts = np.flatnonzero(held & ~np.r_[False, joined])
+    lasts = np.flatnonzero(held & ~np.r_[joined, False])
+    return list(zip(places[firsts].tolist(), places[lasts].tolist()))
+
+
+class _Passage:
+    """A passage's words as places in its block's vocabulary, and what counts as found."""
+
+    def __init__(self, query_id: int, words: list[int], enough: int):
+        self.query_id, self.words, self.enough = query_id, words, max(enough, 1)
+        # One more word than this matched or skipped costs more than the passage can win.
+        self.reach = max(3 * len(words) - self.enough, 1)
+
+    def search(self, places: Callable[[list[int]], np.ndarray], rarity: Callable[[int], int]) -> list[tuple[int, int]]:
+        """Stretches of a batch worth aligning."""
+        distinct = sorted(set(self.words), key=rarity)
+        need = -(-self.enough // 2)
+        if need > len(self.words):
+            return []
+        repeated, spare = sorted(self.words, key=rarity), len(self.words) - need + 1
+        rare = sorted(set(repeated[:spare]), key=rarity)
+        near = places(rare)
+        if 4 * len(near) > sum(map(rarity, distinct)):
+            return _stretches(places(distinct), self.enough)
+        if not len(near):
+            return []
+        common = places([w for w in distinct if w not in set(rare)])
+        after = np.searchsorted(near, common)
+        close = (common - near[np.maximum(after - 1, 0)] <= self.reach) & (after > 0) | (near[np.minimum(after, len(near) - 1)] - common <= self.reach) & (after < len(near))
+        return _stretches(np.sort(np.concatenate([near, common[close]])), self.enough)
+
+
+def _common(query: list[int], grid: np.ndarray) -> np.ndarray:
+    """At least as many as the words each window (row) has in common with the passage in order: longest common subsequences by bits."""
+    total = np.zeros(len(grid), np.int64)
+    for start in range(0, len(query), 64):
+        part = query[start:start + 64]
+        masks = np.zeros(max(query) + 2, np.uint64)  # the last one is that of all other words
+        for bit, word in enumerate(part):
+            masks[word] |= np.uint64(1 << bit)
+        full = np.uint64((1 << len(part)) - 1)
+        open_ = np.full(len(grid), full)
+        for column in grid.T:
+            taken = open_ & masks[column]
+            open_ = ((open_ + taken) | (open_ - taken)) & full
+        total += len(part) - np.bitwise_count(open_).astype(np.int64)
+    return total
+
+
+def _windows(passage: _Passage, codes: np.ndarray, stretches: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, the passage's own word numbers or -1) of each stretch, long ones in overlapping windows, where enough words are in order."""
+    step = 4 * passage.reach
+    cuts = [(k, min(k + step + passage.reach, z + 1)) for a, z in stretches for k in range(a, max(a + 1, z + 1 - passage.reach), step)]
+    cuts.sort(key=lambda w: w[1] - w[0])
+    own = {w: k for k, w in enumerate(dict.fromkeys(passage.words))}
+    distinct = np.array(sorted(own), np.int64)
+    number = np.array([own[w] for w in distinct.tolist()], np.int64)
+    query = [own[w] for w in passage.words]
+    for start in range(0, len(cuts), 1024):
+        part = cuts[start:start + 1024]
+        grid = np.full((len(part), part[-1][1] - part[-1][0]), -1, dtype=np.int64)
+        for g, (a, z) in enumerate(part):
+            grid[g, : z - a] = codes[a:z]
+        at = np.minimum(np.searchsorted(distinct, grid), len(distinct) - 1)
+        grid = np.where(distinct[at] == grid, number[at], -1)
+        for g in np.flatnonzero(MATCH * _common(query, grid) >= passage.enough):
+            yield part[g][0], grid[g, : part[g][1] - part[g][0]]
+
+
+def _candidates(batch: pa.RecordBatch, vocabulary: pa.Array, passages: list[_Passage]) -> Iterator[tuple]:
+    """What is worth aligning in a batch of documents: (query_id, doc_id, first word, the passage's words, the window's, enough)."""
+    lists = batch.column("words")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(lists).dictionary_encode()
+    of_word = pc.fill_null(pc.index_in(flat.dictionary, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    # Between two documents lies more space than any sum can bridge.
+    far = 4 * (len(flat) + 1)
+    first = np.cumsum(sizes) - sizes
+    codes = of_word[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    hits = np.flatnonzero(codes >= 0)
+    order = hits[np.argsort(codes[hits], kind="stable")]
+    ends = np.searchsorted(codes[order], np.arange(len(vocabulary) + 1))
+    spaced = order + doc[order] * far
+    ids = batch.column("doc_id").to_pylist()
+
+    def places(words: list[int]) -> np.ndarray:
+        parts = [spaced[ends[w]:ends[w + 1]] for w in words]
+        return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+    for passage in passages:
+        found = passage.search(places, lambda w: int(ends[w + 1] - ends[w]))
+        if not found:
+            continue
+        # Back to places in the batch: every document before added ``far``.
+        at = np.array(found)
+        which = np.searchsorted(first + np.arange(len(sizes)) * far, at[:, 0], "right") - 1
+        while (empty := sizes[which] == 0).any():
+            which[empty] -= 1
+        plain = at - (which * far)[:, None]
+        own = {w: k for k, w in enumerate(dict.fromkeys(passage.words))}
+        query = [own[w] for w in passage.words]
+        for start, window in _windows(passage, codes, [tuple(x) for x in plain.tolist()]):
+            k = int(doc[start])
+            yield passage.query_id, ids[k], start - int(first[k]), query, window.tolist(), passage.enough
+
+
+_ASKED_SCHEMA = "query_id bigint, doc_id bigint, from_tok int, q array<int>, w array<int>, enough int"
+_ASKED = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("from_tok", pa.int32()), ("q", pa.list_(pa.int32())), ("w", pa.list_(pa.int32())), ("enough", pa.int32())])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2_000) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _aligned(candidates: DataFrame) -> DataFrame:
+    """The best alignment of every (query_id, doc_id) among its candidates: FOUND_SCHEMA.
+
+    Windows that overlap agree on their alignments: the first best cell of the whole document wins.
+    """
 
-    names = [c.split()[0] for c in MATCH_SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                by_query: dict[int, list[dict]] = {}
+                for row in batch.to_pylist():
+                    by_query.setdefault(row["query_id"], []).append(row)
+                for query_id, own in by_query.items():
+                    own.sort(key=lambda r: len(r["w"]))
+                    for start in range(0, len(own), 256):
+                        part = own[start:start + 256]
+                        grid = np.full((len(part), len(part[-1]["w"])), -1, dtype=np.int64)
+                        for g, r in enumerate(part):
+                            grid[g, : len(r["w"])] = r["w"]
+                        for r, score, w0, w1, q0, q1 in zip(part, *_align(part[0]["q"], grid)):
+                            if score >= r["enough"]:
+                                yield query_id, r["doc_id"], int(score), len(r["q"]), r["from_tok"] + int(w0), r["from_tok"] + int(w1), int(q0), int(q1)
+
+        yield from _batches(rows(), _FOUND)
+
+    cells = P.spread(candidates, ["query_id", "doc_id", "from_tok"]).mapInArrow(run, FOUND_SCHEMA)
+    rest = _FOUND.names[2:]
+    return cells.groupBy("query_id", "doc_id").agg(F.min_by(F.struct(*rest), F.struct(-F.col("score"), "q_end", "last_tok")).alias("m")).select("query_id", "doc_id", "m.*")
+
+
+_FOUND = pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in FOUND_SCHEMA.split(", ")])
+
+
+def _search(queries: DataFrame, words: DataFrame, enough: Column) -> DataFrame:
+    """Best place of every passage in every document where its score reaches ``enough`` (of ``n``, its words): ``words(doc_id, words)``."""
+    spark = queries.sparkSession
+    q = P.stage(queries.select("query_id", X.words(F.col("text")).alias("q")).filter(F.size("q") > 0).withColumn("n", F.size("q")).withColumn("enough", enough.cast("int")))
+    total = q.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_WORDS))
+    words = words if blocks == 1 else P.stage(words)
+    found = None
+    for block in range(blocks):
+        vocabulary: dict[str, int] = {}
+        passages = [_Passage(r["query_id"], [vocabulary.setdefault(w, len(vocabulary)) for w in r["q"]], r["enough"])
+                    for r in q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toLocalIterator()]
+        shared = spark.sparkContext.broadcast((list(vocabulary), passages))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocabulary, passages = shared.value
+            for batch in batches:
+                yield from _batches(_candidates(batch, pa.array(vocabulary, pa.string()), passages), _ASKED)
+
+        part = words.select("doc_id", "words").mapInArrow(run, _ASKED_SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    return _aligned(found)
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.words(F.col("text")).alias("words"))
+
+
+def _with_offsets(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Places in words as places in the text; only documents with a find are cut into words with offsets."""
+    own = P.stage(found)
+    documents = _documents(docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return own.join(documents, "doc_id").select(
+        "query_id", "doc_id", "score", "n", "tok", "last_tok", F.element_at("words", F.col("tok") + 1)["s"].alias("char_offset"),
+        F.element_at("words", F.col("last_tok") + 1)["e"].alias("end_offset"), "q_start", "q_end", *[c for c in own.columns if c not in _FOUND.names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, same in pdf.groupby("query_id", sort=False):
-                yield passage(same)
 
-    def passage(rows: pd.DataFrame) -> pd.DataFrame:
-        codes: dict[str, int] = {}
-        query = [codes.setdefault(w, len(codes)) for w in rows["q"].iloc[0]]
-        coded = [[codes.get(v, -1) for v in words] for words in rows["v"]]
-        kept = [i for i, (c, enough) in enumerate(zip(coded, rows["enough"])) if MATCH * sum(map(set(c).__contains__, query)) >= enough]
-        if not kept:
-            return pd.DataFrame(columns=names)
-        grid = np.full((len(kept), max(len(coded[i]) for i in kept)), -1, dtype=np.int64)
-        for g, i in enumerate(kept):
-            grid[g, : len(coded[i])] = coded[i]
-        out = []
-        for i, score, a, z, qa, qz in zip(kept, *_align(query, grid)):
-            row = rows.iloc[i]
-            if score >= max(row["enough"], 1):
-                out.append((row["query_id"], row["doc_id"], score, len(query), row["from_tok"] + a, row["from_tok"] + z, row["s"][a], row["e"][z], qa, qz))
-        return pd.DataFrame(out, columns=names)
+def _confident(matches: DataFrame, min_conf: float) -> DataFrame:
+    c = (F.col("score") / (F.col("n") * 2)).cast("float")
+    return matches.withColumn("confidence", c).filter(F.col("confidence") >= F.lit(min_conf).cast("float"))
 
-    rows = windows.select("query_id", "doc_id", "q", F.col("from_tok").cast("int").alias("from_tok"), F.col("words.v").alias("v"),
-                          F.col("words.s").alias("s"), F.col("words.e").alias("e"), "enough")
-    # A score of ``enough`` takes half as many passage words that occur in the window at all; here every
-    # repeated word of the passage counts as found, the exact count follows beside the alignment.
-    shared = F.size(F.array_intersect("q", "v")) + F.size("q") - F.size(F.array_distinct("q"))
-    return P.spread(rows.filter(shared * MATCH >= F.col("enough")), ["query_id", "doc_id", "from_tok"]).mapInPandas(run, MATCH_SCHEMA)
 
+def _at_least(min_conf: float) -> Column:
+    # A hair below the bound, so that float rounding can only add candidates.
+    return F.ceil(F.col("n") * 2 * (min_conf - 1e-6))
 
-def _cut(windows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Put each window's words beside it; a document's array is sliced in its own row."""
-    return windows.join(documents, "doc_id").withColumn(
-        "words", F.slice("words", (F.col("from_tok") + 1).cast("int"), F.greatest(F.col("to_tok") - F.col("from_tok"), F.lit(0)).cast("int")))
 
+def match(queries: DataFrame, docs: DataFrame, min_conf: float = 0.45) -> DataFrame:
+    """Every document holding a passage, with the best place in it.  Exact: nothing is capped."""
+    return _with_offsets(_confident(_search(queries, _words(docs), _at_least(min_conf)), min_conf), docs)
 
-def _best(aligned: DataFrame) -> DataFrame:
-    """Overlapping windows agree on their alignments: the first best cell of the whole document."""
-    cols = [c.split()[0] for c in MATCH_SCHEMA.split(", ")][2:]
-    return aligned.groupBy("query_id", "doc_id").agg(F.min_by(
-        F.struct(*cols), F.struct(-F.col("score"), "q_end", "last_tok")).alias("m")).select("query_id", "doc_id", "m.*")
 
+def _inside(windows: DataFrame) -> DataFrame:
+    """The best alignment per query_id and doc_id in its (q, from_tok, words, enough) rows: FOUND_SCHEMA."""
 
-def _confident(matches: DataFrame, min_conf: float) -> DataFrame:
-    c = (F.col("score") / (F.col("n") * 2)).cast("float")
-    return matches.withColumn("confidence", c).filter(F.col("confidence") >= F.lit(min_conf).cast("float"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    vocabulary: dict[str, int] = {}
+                    words = [vocabulary.setdefault(w, len(vocabulary)) for w in batch.column("q")[i].as_py()]
+                    passage = _Passage(batch.column("query_id")[i].as_py(), words, batch.column("enough")[i].as_py())
+                    start = batch.column("from_tok")[i].as_py()
+                    for row in _candidates(batch.select(["doc_id", "words"]).slice(i, 1), pa.array(list(vocabulary), pa.string()), [passage]):
+                        yield (*row[:2], row[2] + start, *row[3:])
 
+        yield from _batches(rows(), _ASKED)
 
-def _windows(queries: DataFrame, documents: DataFrame, min_conf: float) -> DataFrame:
-    # A hair below the bound, so that float rounding can only add candidates.
-    c = min_conf - 1e-6
-    return _seeded(queries, documents, F.ceil(F.col("n") * c).cast("int"), F.ceil(F.col("n") * (3 - 2 * c)).cast("int")).withColumn(
-        "enough", F.ceil(F.size("q") * 2 * c).cast("int"))
+    asked = windows.select("query_id", "doc_id", "q", F.col("from_tok").cast("int").alias("from_tok"), "words", F.col("enough").cast("int").alias("enough"))
+    return _aligned(asked.mapInArrow(run, _ASKED_SCHEMA))
 
 
-def match(queries: DataFrame, docs: DataFrame, min_conf: float = 0.45) -> DataFrame:
-    """Every document holding a passage, with the best place in it.  Exact: nothing is capped."""
-    documents = _documents(docs)
-    return _confident(_best(_aligned(_cut(_windows(queries, documents, min_conf), documents))), min_conf)
+def _slice(words: Column, from_tok: Column, to_tok: Column) -> Column:
+    return F.slice(words, (from_tok + 1).cast("int"), F.greatest(to_tok - from_tok, F.lit(0)).cast("int"))
 
 
 def match_near(expected: DataFrame, queries: DataFrame, docs: DataFrame, radius: int, min_conf: float = 0.45) -> DataFrame:
-    """Alignment in a window around an expected word: ``expected(query_id, doc_id, tok_idx)``."""
+    """Alignment in a window around an expected word: ``expected(query_id, doc_id, tok_idx)``.  Only expected documents are cut into words."""
+    expected = P.stage(expected)
+    near = P.stage(_documents(docs.join(expected.select("doc_id").distinct(), "doc_id", "left_semi")))
     q = queries.select("query_id", X.words(F.col("text")).alias("q")).filter(F.size("q") > 0)
-    w = expected.join(q, "query_id").select(
-        "query_id", "doc_id", "q", F.greatest(F.col("tok_idx") - radius, F.lit(0)).alias("from_tok"),
-        (F.col("tok_idx") + radius + F.size("q")).alias("to_tok"), F.lit(1).alias("enough"))
-    return _confident(_best(_aligned(_cut(w, _documents(docs)))), min_conf)
+    first = F.greatest(F.col("tok_idx") - radius, F.lit(0))
+    w = expected.join(q, "query_id").join(near, "doc_id").select(
+        "query_id", "doc_id", "q", first.alias("from_tok"), _slice(F.col("words.v"), first, F.col("tok_idx") + radius + F.size("q")).alias("words"), F.lit(1).alias("enough"))
+    return _with_offsets(_confident(_inside(w), min_conf), docs)
 
 
 def unambiguous(queries: DataFrame, docs: DataFrame, min_words: int = 10, min_conf: float = 0.6, margin: float = 0.1) -> DataFrame:
@@ -208,16 +358,17 @@ def unambiguous(queries: DataFrame, docs: DataFrame, min_words: int = 10, min_co
     twice the passage's length to spare; it counts from ``min_conf`` up.
     """
     long_enough = queries.filter(F.size(X.words(F.col("text"))) >= min_words)
-    documents = _documents(docs)
-    windows = P.stage(_windows(long_enough, documents, min_conf))
-    found = P.stage(_confident(_best(_aligned(_cut(windows, documents))), min_conf))
-    around = windows.join(found.select("query_id", "doc_id", "tok", "n"), ["query_id", "doc_id"])
-    before = around.withColumn("to_tok", F.least(F.col("to_tok"), (F.col("tok") - 2 * F.col("n")).cast("bigint")))
-    after = around.withColumn("from_tok", F.greatest(F.col("from_tok"), (F.col("tok") + 3 * F.col("n")).cast("bigint")))
-    sides = before.unionByName(after).filter("to_tok > from_tok").select("query_id", "doc_id", "q", "from_tok", "to_tok", "enough")
-    rivals = _confident(_best(_aligned(_cut(sides, documents))), min_conf).select("query_id", "doc_id", F.col("confidence").alias("rival"))
+    found = P.stage(_confident(_search(long_enough, _words(docs), _at_least(min_conf)), min_conf))
+    q = long_enough.select("query_id", X.words(F.col("text")).alias("q"))
+    around = found.select("query_id", "doc_id", "tok", "n").join(q, "query_id").join(
+        _words(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id").withColumn("enough", _at_least(min_conf))
+    before, after = F.greatest(F.col("tok") - 2 * F.col("n"), F.lit(0)), F.col("tok") + 3 * F.col("n")
+    cols = ["query_id", "doc_id", "q", "enough"]
+    sides = around.select(*cols, F.lit(0).alias("from_tok"), _slice(F.col("words"), F.lit(0), before).alias("words")).unionByName(
+        around.select(*cols, after.alias("from_tok"), _slice(F.col("words"), after, F.size("words")).alias("words"))).filter(F.size("words") > 0)
+    rivals = _confident(_inside(sides), min_conf).select("query_id", "doc_id", F.col("confidence").alias("rival"))
     j = found.join(rivals, ["query_id", "doc_id"], "left").withColumn("rival", F.coalesce("rival", F.lit(0.0).cast("float")))
-    return j.filter(~(F.col("rival") >= F.col("confidence") - F.lit(margin).cast("float")))
+    return _with_offsets(j.filter(~(F.col("rival") >= F.col("confidence") - F.lit(margin).cast("float"))), docs)
 
 
 def first_found(found: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -237,13 +388,11 @@ def page(queries: DataFrame, docs: DataFrame, min_conf: float = 0.55) -> DataFra
     2 * min_conf * 20 and it matches half as many words: that bounds the seeds.
     """
     least = math.ceil(2 * (min_conf - 1e-6) * PAGE_MIN_MATCHED)
-    documents = _documents(docs)
     long_enough = queries.filter(F.size(X.words(F.col("text"))) >= PAGE_MIN_WORDS)
-    w = _seeded(long_enough, documents, F.lit(math.ceil(least / 2)), (F.col("n") * 3 - least).cast("int")).withColumn("enough", F.lit(least))
-    m = _best(_aligned(_cut(w, documents))).withColumn("matched", F.col("q_end") - F.col("q_start") + 1)
+    m = _search(long_enough, _words(docs), F.lit(least)).withColumn("matched", F.col("q_end") - F.col("q_start") + 1)
     c = F.least((F.col("score") / (F.col("n") * 2)).cast("float") * F.col("n") / F.col("matched"), F.lit(1.0)).cast("float")
-    return m.filter(F.col("matched") >= PAGE_MIN_MATCHED).withColumn("confidence", c).filter(
-        F.col("confidence") >= F.lit(min_conf).cast("float")).select("query_id", "doc_id", "char_offset", "end_offset", "confidence")
+    sure = m.filter(F.col("matched") >= PAGE_MIN_MATCHED).withColumn("confidence", c).filter(F.col("confidence") >= F.lit(min_conf).cast("float"))
+    return _with_offsets(sure, docs).select("query_id", "doc_id", "char_offset", "end_offset", "confidence")
 
 
 # --- letters ----------------------------------------------------------------------------------
