@@ -31,23 +31,75 @@ def _(t: Tables):
     return voted(t)
 
 
-@query("loc_match")
+# Where a passage may lie: the most that a stretch of a document can win, 2 per word of the passage and -1 per other word.
+register_sql("q_sizes", ["qwords"], "SELECT query_id, count(*) AS n FROM qwords GROUP BY 1")
+register_sql("most", ["tokens", "qwords"], """SELECT query_id, doc_id, max(v - low) + 2 AS most FROM (
+    SELECT query_id, doc_id, v, min(v) OVER (PARTITION BY query_id, doc_id ORDER BY k) AS low FROM (
+      SELECT query_id, doc_id, row_number() OVER w AS k, 3 * row_number() OVER w - tok_idx AS v
+      FROM tokens JOIN (SELECT DISTINCT query_id, value FROM qwords) USING (value) WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY tok_idx))) GROUP BY 1, 2""")
+
+
+def aligned_sql(windows: str, enough: str) -> str:
+    """Best local alignment per row of ``windows(query_id, doc_id, lo, hi)``, a row of cells per word of the passage; ``enough`` of score and n."""
+    return f"""SELECT query_id, doc_id, score, CAST(n AS INT) AS n, CAST(lo + wf AS INT) AS tok, CAST(lo + i - 1 AS INT) AS last_tok, CAST(qf AS INT) AS q_start, CAST(j AS INT) AS q_end FROM (
+      SELECT query_id, doc_id, n, unnest(arg_max({{'score': score, 'lo': lo, 'i': i, 'wf': wf, 'qf': qf, 'j': j}}, (score, -j, -i))) FROM (WITH RECURSIVE
+        win AS (SELECT w.query_id, w.doc_id, w.lo, t.tok_idx - w.lo + 1 AS i, t.value FROM ({windows}) w JOIN tokens t ON t.doc_id = w.doc_id AND t.tok_idx >= w.lo AND t.tok_idx < w.hi),
+        dp AS (SELECT query_id, doc_id, lo, i, value, -1 AS j, 0 AS score, 0 AS wf, 0 AS qf FROM win UNION ALL SELECT DISTINCT query_id, doc_id, lo, 0, NULL, -1, 0, 0, 0 FROM win
+          UNION ALL SELECT query_id, doc_id, lo, i, value, j, CAST(top.k - i AS INT), CAST(top.w AS INT), CAST(top.q AS INT) FROM (
+            SELECT *, max({{'k': greatest(CASE WHEN up THEN score - 1 ELSE d END, 0) + i, 'i': i, 'w': CASE WHEN up THEN wf WHEN ps > 0 THEN pw ELSE greatest(i - 1, 0) END,
+              'q': CASE WHEN up THEN qf WHEN ps > 0 THEN pq ELSE j END}}) OVER (PARTITION BY query_id, doc_id, lo ORDER BY i) AS top FROM (
+              SELECT *, score > 0 AND score - 1 > d AS up FROM (
+                SELECT dp.query_id, doc_id, lo, i, dp.value, j + 1 AS j, score, wf, qf, lag(score) OVER w AS ps, lag(wf) OVER w AS pw, lag(qf) OVER w AS pq,
+                  coalesce(lag(score) OVER w + CASE WHEN dp.value = q.value THEN 2 ELSE -1 END, 0) AS d
+                FROM dp JOIN qwords q ON q.query_id = dp.query_id AND q.q_idx = dp.j + 1 WINDOW w AS (PARTITION BY dp.query_id, doc_id, lo ORDER BY i)))))
+        SELECT dp.*, n FROM dp JOIN q_sizes USING (query_id) WHERE j >= 0 AND score >= {enough}) GROUP BY 1, 2, 3)"""
+
+
+def confident_sql(found: str, least: float) -> str:
+    return f"SELECT *, CAST(score / (n * 2) AS FLOAT) AS confidence FROM ({found}) WHERE CAST(score / (n * 2) AS FLOAT) >= CAST({least} AS FLOAT)"
+
+
+def placed_sql(found: str) -> str:
+    """Word places as places in the text, by the lengths of words and of what lies between them."""
+    return f"""SELECT f.*, CAST(a.s AS INT) AS char_offset, CAST(z.s + z.len AS INT) AS end_offset FROM ({found}) f JOIN word_places a ON a.doc_id = f.doc_id AND a.tok_idx = f.tok
+      JOIN word_places z ON z.doc_id = f.doc_id AND z.tok_idx = f.last_tok"""
+
+
+register_sql("word_places", [], """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS tok_idx, s, len FROM (
+    SELECT doc_id, i, v, length(v) AS len, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) AS s FROM (
+      SELECT doc_id, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{Nd}''’]+|[^\p{L}\p{Nd}''’]+') AS p FROM documents)))
+    WHERE regexp_matches(v, '[\p{L}\p{Nd}]')""")
+
+_ANYWHERE = "SELECT m.query_id, m.doc_id, 0 AS lo, 1000000000 AS hi FROM most m JOIN q_sizes USING (query_id) WHERE most >= {0}"
+register_sql("matched", ["most", "q_sizes", "qwords", "tokens"], confident_sql(aligned_sql(_ANYWHERE.format("ceil(n * 2 * (0.45 - 1e-6))"), "n * 2 * (0.45 - 1e-6)"), 0.45))
+_MATCHED = ["matched", "word_places"]
+
+
+@query("loc_match", placed_sql("SELECT * FROM matched"), _MATCHED)
 def _(t: Tables):
     return Q.match(passages(t), t.table("documents"))
 
 
-@query("loc_match_near")
+@query("loc_match_near", placed_sql(confident_sql(aligned_sql("SELECT query_id, doc_id, greatest(lo + 25 - 120, 0) AS lo, lo + 25 + 120 + n AS hi FROM voted JOIN q_sizes USING (query_id)", "1"), 0.45)),
+       ["voted", "qwords", "q_sizes", "tokens", "word_places"])
 def _(t: Tables):
     expected = voted(t).select("query_id", "doc_id", (F.col("lo") + 25).alias("tok_idx"))
     return Q.match_near(expected, passages(t), t.table("documents"), 120)
 
 
-@query("loc_unambiguous")
+register_sql("sure_matches", ["matched"], "SELECT * FROM matched WHERE n >= 10 AND confidence >= CAST(0.6 AS FLOAT)")
+register_sql("rivals", ["sure_matches", "qwords", "q_sizes", "tokens"], confident_sql(aligned_sql(
+    """SELECT query_id, doc_id, 0 AS lo, greatest(tok - 2 * n, 0) AS hi FROM sure_matches UNION ALL SELECT query_id, doc_id, tok + 3 * n, 1000000000 FROM sure_matches""", "n * 2 * (0.6 - 1e-6)"), 0.6))
+
+
+@query("loc_unambiguous", placed_sql("""SELECT m.*, coalesce(r.confidence, CAST(0 AS FLOAT)) AS rival FROM sure_matches m LEFT JOIN rivals r USING (query_id, doc_id)
+    WHERE NOT coalesce(r.confidence, CAST(0 AS FLOAT)) >= m.confidence - CAST(0.1 AS FLOAT)"""), ["sure_matches", "rivals", "word_places"])
 def _(t: Tables):
     return Q.unambiguous(passages(t), t.table("documents"))
 
 
-@query("loc_page")
+@query("loc_page", f"""SELECT query_id, doc_id, char_offset, end_offset, confidence FROM (SELECT *, CAST(least(CAST(CAST(score / (n * 2) AS FLOAT) * n AS DOUBLE) / (q_end - q_start + 1), 1.0) AS FLOAT) AS confidence
+    FROM ({placed_sql(aligned_sql(_ANYWHERE.format("22 AND n >= 12"), "22"))})) WHERE q_end - q_start + 1 >= 20 AND confidence >= CAST(0.55 AS FLOAT)""", ["most", "q_sizes", "qwords", "tokens", "word_places"])
 def _(t: Tables):
     return Q.page(passages(t), t.table("documents"))
 
