@@ -40,18 +40,21 @@ register_sql("most", ["tokens", "qwords"], """SELECT query_id, doc_id, max(v - l
 
 
 def aligned_sql(windows: str, enough: str) -> str:
-    """Best local alignment per row of ``windows(query_id, doc_id, lo, hi)``, a row of cells per word of the passage; ``enough`` of score and n."""
+    """Best local alignment per row of ``windows(query_id, doc_id, lo, hi)``, a row of cells per word of the passage; ``enough`` of score and n.
+
+    A cell's score and place, and where its alignment starts, are digits of one number, 24 bits each, so that a running maximum carries them on.
+    """
     return f"""SELECT query_id, doc_id, score, CAST(n AS INT) AS n, CAST(lo + wf AS INT) AS tok, CAST(lo + i - 1 AS INT) AS last_tok, CAST(qf AS INT) AS q_start, CAST(j AS INT) AS q_end FROM (
       SELECT query_id, doc_id, n, unnest(arg_max({{'score': score, 'lo': lo, 'i': i, 'wf': wf, 'qf': qf, 'j': j}}, (score, -j, -i))) FROM (WITH RECURSIVE
-        win AS (SELECT w.query_id, w.doc_id, w.lo, t.tok_idx - w.lo + 1 AS i, t.value FROM ({windows}) w JOIN tokens t ON t.doc_id = w.doc_id AND t.tok_idx >= w.lo AND t.tok_idx < w.hi),
+        qw AS MATERIALIZED (SELECT query_id, q_idx, value FROM qwords), win AS MATERIALIZED (SELECT w.query_id, w.doc_id, w.lo, t.tok_idx - w.lo + 1 AS i, t.value FROM ({windows}) w JOIN tokens t ON t.doc_id = w.doc_id AND t.tok_idx >= w.lo AND t.tok_idx < w.hi),
         dp AS (SELECT query_id, doc_id, lo, i, value, -1 AS j, 0 AS score, 0 AS wf, 0 AS qf FROM win UNION ALL SELECT DISTINCT query_id, doc_id, lo, 0, NULL, -1, 0, 0, 0 FROM win
-          UNION ALL SELECT query_id, doc_id, lo, i, value, j, CAST(top.k - i AS INT), CAST(top.w AS INT), CAST(top.q AS INT) FROM (
-            SELECT *, max({{'k': greatest(CASE WHEN up THEN score - 1 ELSE d END, 0) + i, 'i': i, 'w': CASE WHEN up THEN wf WHEN ps > 0 THEN pw ELSE greatest(i - 1, 0) END,
-              'q': CASE WHEN up THEN qf WHEN ps > 0 THEN pq ELSE j END}}) OVER (PARTITION BY query_id, doc_id, lo ORDER BY i) AS top FROM (
+          UNION ALL SELECT query_id, doc_id, lo, i, value, j, CAST(top // 4722366482869645213696 - i AS INT), CAST(top // 16777216 % 16777216 AS INT), CAST(top % 16777216 AS INT) FROM (
+            SELECT *, max(((greatest(CASE WHEN up THEN score - 1 ELSE d END, 0) + i)::HUGEINT * 16777216 + i) * 281474976710656 + CASE WHEN up THEN wf WHEN ps > 0 THEN pw ELSE greatest(i - 1, 0) END * 16777216::HUGEINT
+              + CASE WHEN up THEN qf WHEN ps > 0 THEN pq ELSE j END) OVER (PARTITION BY query_id, doc_id, lo ORDER BY i) AS top FROM (
               SELECT *, score > 0 AND score - 1 > d AS up FROM (
                 SELECT dp.query_id, doc_id, lo, i, dp.value, j + 1 AS j, score, wf, qf, lag(score) OVER w AS ps, lag(wf) OVER w AS pw, lag(qf) OVER w AS pq,
                   coalesce(lag(score) OVER w + CASE WHEN dp.value = q.value THEN 2 ELSE -1 END, 0) AS d
-                FROM dp JOIN qwords q ON q.query_id = dp.query_id AND q.q_idx = dp.j + 1 WINDOW w AS (PARTITION BY dp.query_id, doc_id, lo ORDER BY i)))))
+                FROM dp JOIN qw q ON q.query_id = dp.query_id AND q.q_idx = dp.j + 1 WINDOW w AS (PARTITION BY dp.query_id, doc_id, lo ORDER BY i)))))
         SELECT dp.*, n FROM dp JOIN q_sizes USING (query_id) WHERE j >= 0 AND score >= {enough}) GROUP BY 1, 2, 3)"""
 
 
@@ -61,14 +64,13 @@ def confident_sql(found: str, least: float) -> str:
 
 def placed_sql(found: str) -> str:
     """Word places as places in the text, by the lengths of words and of what lies between them."""
-    return f"""SELECT f.*, CAST(a.s AS INT) AS char_offset, CAST(z.s + z.len AS INT) AS end_offset FROM ({found}) f JOIN word_places a ON a.doc_id = f.doc_id AND a.tok_idx = f.tok
-      JOIN word_places z ON z.doc_id = f.doc_id AND z.tok_idx = f.last_tok"""
+    return f"SELECT f.*, CAST(starts[tok + 1] AS INT) AS char_offset, CAST(ends[last_tok + 1] AS INT) AS end_offset FROM ({found}) f JOIN word_places USING (doc_id)"
 
 
-register_sql("word_places", [], """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS tok_idx, s, len FROM (
+register_sql("word_places", [], r"""SELECT doc_id, list(s ORDER BY i) AS starts, list(s + len ORDER BY i) AS ends FROM (
     SELECT doc_id, i, v, length(v) AS len, sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) AS s FROM (
       SELECT doc_id, unnest(p) AS v, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{Nd}''’]+|[^\p{L}\p{Nd}''’]+') AS p FROM documents)))
-    WHERE regexp_matches(v, '[\p{L}\p{Nd}]')""")
+    WHERE regexp_matches(v, '[\p{L}\p{Nd}]') GROUP BY 1""")
 
 _ANYWHERE = "SELECT m.query_id, m.doc_id, 0 AS lo, 1000000000 AS hi FROM most m JOIN q_sizes USING (query_id) WHERE most >= {0}"
 register_sql("matched", ["most", "q_sizes", "qwords", "tokens"], confident_sql(aligned_sql(_ANYWHERE.format("ceil(n * 2 * (0.45 - 1e-6))"), "n * 2 * (0.45 - 1e-6)"), 0.45))
