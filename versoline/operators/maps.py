@@ -117,18 +117,22 @@ def audio_at_or_after(offsets: DataFrame, anchors: DataFrame, chapters: DataFram
 
 
 def sentence_times(sentences: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Begin and end per sentence from the chapter map that covers both its ends.
+    """Begin and end per sentence from the first chapter whose map covers both its ends.
 
-    Chapter maps of a book are disjoint in text, so the one covering a sentence is found by an as-of join.
+    Maps of a book may overlap in text, so each is listed under all buckets of text it touches and a sentence
+    looks into the bucket it starts in; of the maps that cover it the lowest chapter wins.
     """
     s = P.scan(sentences.select("book_id", "idx", "start", "end"), ["book_id"], ["start"],
                P.slice_of("start", SLICE_CHARS), {"__next": P.following(F.col("start"))})
     spans = bounds(anchors).filter("n > 1").select("book_id", "chapter_idx", "first_char", "last_char")
-    b = P.bracket(s, spans, ["book_id"], "start", "first_char", ["last_char", "chapter_idx"], STEP_CHARS * 60)
+    listed = spans.withColumn("__b", F.explode(F.sequence(P.slice_of("first_char", SLICE_CHARS), P.slice_of("last_char", SLICE_CHARS))))
     last = F.greatest(F.col("start"), F.col("end") - 1)
-    owned = b.filter(last <= F.col("lo.last_char")).select(
-        "book_id", "idx", "start", F.col("lo.chapter_idx").alias("chapter_idx"),
-        F.when(F.col("__next") <= F.col("lo.last_char"), F.col("__next")).otherwise(F.col("end")).alias("__to"))
+    covering = s.withColumn("__b", P.slice_of("start", SLICE_CHARS)).join(listed, ["book_id", "__b"]).filter(
+        (F.col("start") >= F.col("first_char")) & (last <= F.col("last_char")))
+    own = covering.groupBy("book_id", "idx", "start", "end", "__next").agg(F.min(F.struct("chapter_idx", "last_char")).alias("__m"))
+    owned = own.select(
+        "book_id", "idx", "start", F.col("__m.chapter_idx").alias("chapter_idx"),
+        F.when(F.col("__next") <= F.col("__m.last_char"), F.col("__next")).otherwise(F.col("end")).alias("__to"))
     timed = char_to_ms(char_to_ms(owned, anchors, "start", "begin_ms"), anchors, "__to", "end_ms")
     return timed.filter("end_ms > begin_ms").select("book_id", "idx", "start", "begin_ms", "end_ms")
 
@@ -144,11 +148,13 @@ def spans_close_gaps(spans: DataFrame, gap: int = 1_500, tail: int = 250) -> Dat
 def no_overlap_clips(times: DataFrame, durations: DataFrame, keys: list[str]) -> DataFrame:
     """Begin no earlier than the clips before end, clamp to the recording, drop what is left empty.
 
-    The end of the last kept clip is a running maximum: a dropped clip ends no later than it.
+    The end of the last kept clip is a running maximum over the clips that end after their own begin: of these a
+    dropped one ends no later than it, and inverted ones are dropped whatever came before.
     """
     t = times.join(durations.select("book_id", "duration_ms"), "book_id")
     t = t.withColumn("end_ms", F.least(F.greatest(F.col("end_ms"), F.lit(0)), F.col("duration_ms")))
-    t = P.scan(t, keys, ["idx"], P.slice_of("idx", 65_536), {"__pe": P.max_before(F.col("end_ms"))})
+    t = P.scan(t, keys, ["idx"], P.slice_of("idx", 65_536), {
+        "__pe": P.max_before(F.when(F.col("end_ms") > F.greatest(F.col("begin_ms"), F.lit(0)), F.col("end_ms")))})
     begin = F.least(F.greatest(F.col("begin_ms"), F.coalesce("__pe", F.lit(0)), F.lit(0)), F.col("duration_ms"))
     return t.withColumn("begin_ms", begin).filter("end_ms > begin_ms").drop("__pe", "duration_ms")
 

@@ -61,12 +61,12 @@ def _(t: Tables):
     return A.boundaries(t.chapters)
 
 
-register_sql("guessed", ["anchors", "chapters"], """SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM anchors WHERE event_id % 3 = 0
+register_sql("guessed", ["anchors", "chapters"], """SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM anchors
     UNION ALL SELECT book_id, chapter_idx, start_ms, text_start, 0.2 FROM chapters UNION ALL SELECT book_id, chapter_idx, end_ms, text_end, 0.2 FROM chapters""")
 
 
 def guessed(t: Tables):
-    return t.anchors.filter("event_id % 3 = 0").drop("event_id").unionByName(A.boundaries(t.chapters))
+    return t.anchors.drop("event_id").unionByName(A.boundaries(t.chapters))
 
 
 @query("anc_opening_restart", """WITH f AS (SELECT book_id, chapter_idx, min(audio_ms) AS t, min_by(char_offset, audio_ms) AS c FROM guessed WHERE confidence > 0.2 GROUP BY 1, 2),
@@ -207,7 +207,7 @@ def _(t: Tables):
     return A.retimed_clips(clips, P.stage(repaired(t)))
 
 
-register_sql("split_kept", ["anchors"], """SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM (SELECT *, max(char_offset) OVER (PARTITION BY book_id, chapter_idx ORDER BY audio_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM anchors WHERE chapter_idx <> 1) WHERE m IS NULL OR char_offset > m""")
+register_sql("split_kept", ["anchors"], """SELECT book_id, chapter_idx, audio_ms, char_offset, confidence FROM (SELECT *, max(char_offset) OVER (PARTITION BY book_id, chapter_idx ORDER BY audio_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM anchors) WHERE m IS NULL OR char_offset > m""")
 
 
 @query("anc_split_by_chapter", """WITH s AS (SELECT c.book_id, c.chapter_idx, k.s FROM all_chapters c LEFT JOIN (SELECT book_id, chapter_idx, min(char_offset) AS s FROM split_kept GROUP BY 1, 2) k USING (book_id, chapter_idx)),
@@ -215,4 +215,4 @@ register_sql("split_kept", ["anchors"], """SELECT book_id, chapter_idx, audio_ms
     SELECT book_id, chapter_idx, CASE WHEN s IS NOT NULL THEN CASE WHEN seen IS NULL THEN 0 ELSE s END END AS text_start, CASE WHEN s IS NOT NULL THEN coalesce(nxt, text_length) END AS text_end FROM w JOIN timeline_books USING (book_id)""".replace("WITH s AS", "SELECT * FROM (WITH s AS") + ")", ["all_chapters", "split_kept", "timeline_books"])
 def _(t: Tables):
     c = all_chapters(t).select("book_id", "chapter_idx", F.expr("cast(chapter_idx * 600000 as bigint)").alias("start_ms"), F.expr("cast(chapter_idx * 600000 + 600000 as bigint)").alias("end_ms"))
-    return A.split_by_chapter(t.anchors.filter("chapter_idx <> 1").drop("event_id", "chapter_idx"), c, t.timeline_books)[1]
+    return A.split_by_chapter(t.anchors.drop("event_id", "chapter_idx"), c, t.timeline_books)[1]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from versoline.operators import maps as M
 from versoline.plans.registry import query
-from versoline.plans.timeline import tidy
 from versoline.plans.views import Tables, register_sql
 from versoline.sources import catalog as C
 from versoline.sources import files as S
@@ -99,7 +98,7 @@ def _(t: Tables):
 def _(t: Tables):
     from versoline.operators import primitives as P
 
-    clips = P.stage(M.sentence_times(t.sentences, tidy(t)))
+    clips = P.stage(M.sentence_times(t.sentences, t.maps))
     pars, durations, _ = O.overlay_rows(clips, t.sentences, t.chapters)
     return pars.join(durations, ["book_id", "spine_idx"])
 

@@ -178,7 +178,7 @@ def _(t: Tables):
 
 
 # Evidence windows: sure anchors heard for four seconds.
-register_sql("evidence", ["ev"], """SELECT book_id, CAST(s * 15 // 1000 AS INT) AS open_char, min(s) AS open_ms, CAST(s * 15 // 1000 AS INT) + CAST(min(event_id) % 3 * 30 AS INT) AS close_char, min(s) + 4000 AS close_ms FROM ev WHERE event_type = 'signup' GROUP BY 1, 2""".replace("GROUP BY 1, 2", "GROUP BY book_id, s * 15 // 1000"))
+register_sql("evidence", ["ev"], """SELECT book_id, CAST(s * 15 // 1000 AS INT) AS open_char, min(s) AS open_ms, CAST(s * 15 // 1000 AS INT) + CAST(min(event_id) % 3 * 30 AS INT) AS close_char, min(s) + 4000 AS close_ms FROM ev GROUP BY 1, 2""".replace("GROUP BY 1, 2", "GROUP BY book_id, s * 15 // 1000"))
 
 
 @query("loc_from_offset", f"""SELECT event_id, book_id, at_char, CAST(CASE WHEN inside THEN lo_ms + CAST(round_even(CAST(at_char - lo_c AS DOUBLE) / (lo_z - lo_c) * (lo_e - lo_ms), 0) AS BIGINT)
@@ -195,7 +195,7 @@ register_sql("evidence", ["ev"], """SELECT book_id, CAST(s * 15 // 1000 AS INT)
         ASOF LEFT JOIN evidence x ON x.book_id = p.book_id AND p.at_char >= x.open_char ASOF LEFT JOIN evidence y ON y.book_id = p.book_id AND p.at_char < y.open_char)))""",
        ["pt", "bounds", "seg_ms", "evidence", "timeline_books"])
 def _(t: Tables):
-    e = t.ev.filter("event_type = 'signup'").groupBy("book_id", F.expr("cast(s * 15 div 1000 as int)").alias("open_char")).agg(
+    e = t.ev.groupBy("book_id", F.expr("cast(s * 15 div 1000 as int)").alias("open_char")).agg(
         F.min("s").alias("open_ms"), F.min("event_id").alias("i")).select(
         "book_id", "open_char", "open_ms", F.expr("open_char + cast(i % 3 * 30 as int)").alias("close_char"), (F.col("open_ms") + 4000).alias("close_ms"))
     return Q.from_offset(t.points, e, t.maps, t.chapters, t.timeline_books).select("event_id", "book_id", "at_char", "audio_ms", "method")

@@ -12,7 +12,6 @@ from versoline.operators import texts as T
 from versoline.operators import tokens as K
 from versoline.plans.registry import query
 from versoline.plans.texts import SQL_WORDS
-from versoline.plans.timeline import tidy
 from versoline.plans.views import Tables, register_sql
 
 register_sql("flags", ["books"], """SELECT *, coalesce(audio_path <> '', false) AS has_audio, coalesce(ebook_path <> '', false) AS has_text,
@@ -358,20 +357,34 @@ def _(t: Tables):
     return L.concat_files(tracks(t))[0]
 
 
-@query("chp_from_marks", """WITH m AS (SELECT book_id, "offset", min_by(title, l_partkey * 10 + l_linenumber) AS title, 0 AS d FROM marks WHERE book_id % 4 <> 0 GROUP BY 1, 2
-      UNION ALL SELECT book_id, i * 5000, 'Section ' || (i + 1), i FROM (SELECT book_id, unnest(generate_series(0, book_id % 3)) AS i FROM books WHERE book_id NOT IN (SELECT book_id FROM marks WHERE book_id % 4 <> 0)))
+# Every book, and one of the same make that no mark or anchor speaks of.
+register_sql("twins", ["books"], "SELECT book_id FROM books UNION ALL SELECT book_id + 1000000000 FROM books")
+register_sql("timeline_twins", ["timeline_books"], "SELECT * FROM timeline_books UNION ALL SELECT * REPLACE (book_id + 1000000000 AS book_id) FROM timeline_books")
+
+
+def twins(t: Tables):
+    own = t.books.select("book_id")
+    return own.unionByName(own.select((F.col("book_id") + 1_000_000_000).alias("book_id")))
+
+
+def timeline_twins(t: Tables):
+    return t.timeline_books.unionByName(t.timeline_books.withColumn("book_id", F.col("book_id") + 1_000_000_000))
+
+
+@query("chp_from_marks", """WITH m AS (SELECT book_id, "offset", min_by(title, l_partkey * 10 + l_linenumber) AS title, 0 AS d FROM marks GROUP BY 1, 2
+      UNION ALL SELECT book_id, i * 5000, 'Section ' || (i + 1), i FROM (SELECT book_id, unnest(generate_series(0, book_id % 3)) AS i FROM twins WHERE book_id NOT IN (SELECT book_id FROM marks)))
     SELECT book_id, CAST(row_number() OVER w - 1 AS INT) AS chapter_idx, CASE WHEN trim(title) = '' THEN 'Chapter ' || (row_number() OVER w) ELSE trim(title) END AS title,
-      CAST(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE "offset" END AS INT) AS text_start, CAST(coalesce(lead("offset") OVER w, 200000) AS INT) AS text_end FROM m JOIN books USING (book_id)
-    WINDOW w AS (PARTITION BY book_id ORDER BY "offset", d)""".replace("WITH m AS", "SELECT * FROM (WITH m AS").replace("SELECT book_id, CAST(row_number() OVER w - 1", "SELECT m.book_id, CAST(row_number() OVER w - 1").replace("CASE WHEN trim(title)", "CASE WHEN trim(m.title)").replace("ELSE trim(title) END AS title,\n      CAST(CASE WHEN row", "ELSE trim(m.title) END AS title,\n      CAST(CASE WHEN row").replace("PARTITION BY book_id ORDER BY \"offset\", d", "PARTITION BY m.book_id ORDER BY \"offset\", d") + ")", ["marks", "books"])
+      CAST(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE "offset" END AS INT) AS text_start, CAST(coalesce(lead("offset") OVER w, 200000) AS INT) AS text_end FROM m JOIN twins USING (book_id)
+    WINDOW w AS (PARTITION BY book_id ORDER BY "offset", d)""".replace("WITH m AS", "SELECT * FROM (WITH m AS").replace("SELECT book_id, CAST(row_number() OVER w - 1", "SELECT m.book_id, CAST(row_number() OVER w - 1").replace("CASE WHEN trim(title)", "CASE WHEN trim(m.title)").replace("ELSE trim(title) END AS title,\n      CAST(CASE WHEN row", "ELSE trim(m.title) END AS title,\n      CAST(CASE WHEN row").replace("PARTITION BY book_id ORDER BY \"offset\", d", "PARTITION BY m.book_id ORDER BY \"offset\", d") + ")", ["marks", "twins"])
 def _(t: Tables):
-    marks = t.marks.filter("book_id % 4 <> 0").select("book_id", F.expr("l_partkey * 10 + l_linenumber").alias("ord"), "title", "offset")
-    spine = t.books.select("book_id", F.explode(F.expr("sequence(0, cast(book_id % 3 as int))")).alias("spine_idx")).withColumn("text_start", F.col("spine_idx") * 5000)
-    return L.chapters_from_marks(marks, t.books.select("book_id", F.lit(200_000).alias("text_length")), spine)
+    marks = t.marks.select("book_id", F.expr("l_partkey * 10 + l_linenumber").alias("ord"), "title", "offset")
+    spine = twins(t).select("book_id", F.explode(F.expr("sequence(0, cast(book_id % 3 as int))")).alias("spine_idx")).withColumn("text_start", F.col("spine_idx") * 5000)
+    return L.chapters_from_marks(marks, twins(t).select("book_id", F.lit(200_000).alias("text_length")), spine)
 
 
 register_sql("outline", [], """SELECT l_orderkey AS book_id, l_partkey * 10 + l_linenumber AS ord, CAST(l_suppkey % 3 AS INT) AS level, CASE WHEN l_linenumber % 3 = 0 THEN ' ' ELSE 'Part ' || l_partkey END AS title, CAST(l_partkey % 90 + 1 AS INT) AS page
-    FROM (SELECT l_orderkey, l_partkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1, 2, 3)""")
-register_sql("page_counts", ["books"], "SELECT book_id, CAST(book_id % 80 + 20 AS INT) AS page_count FROM books")
+    FROM (SELECT l_orderkey, l_partkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3)""")
+register_sql("page_counts", ["twins"], "SELECT book_id, CAST(book_id % 80 + 20 AS INT) AS page_count FROM twins")
 
 
 @query("chp_outline_level", """WITH o AS (SELECT o.* FROM outline o JOIN page_counts p USING (book_id) WHERE page <= page_count),
@@ -382,20 +395,20 @@ register_sql("page_counts", ["books"], "SELECT book_id, CAST(book_id % 80 + 20 A
     SELECT book_id, CASE WHEN trim(title) = '' THEN 'Chapter ' || row_number() OVER w ELSE trim(title) END AS title, CAST(CASE WHEN row_number() OVER w = 1 THEN 0 ELSE page - 1 END AS INT) AS page FROM one WINDOW w AS (PARTITION BY book_id ORDER BY page)
     UNION ALL SELECT book_id, 'Section ' || (i + 1), CAST(i * 20 AS INT) FROM (SELECT book_id, unnest(generate_series(0, (page_count - 1) // 20)) AS i FROM page_counts WHERE book_id NOT IN (SELECT book_id FROM o))""".replace("WITH o AS", "SELECT * FROM (WITH o AS") + ")", ["outline", "page_counts"])
 def _(t: Tables):
-    o = t.table("lineitem").filter("l_orderkey % 5 <> 0").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).select(
+    o = t.table("lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("s")).select(
         F.col("l_orderkey").alias("book_id"), F.expr("l_partkey * 10 + l_linenumber").alias("ord"), F.expr("cast(s % 3 as int)").alias("level"),
         F.expr("case when l_linenumber % 3 = 0 then ' ' else concat('Part ', l_partkey) end").alias("title"), F.expr("cast(l_partkey % 90 + 1 as int)").alias("page"))
-    return L.outline_level(o, t.books.select("book_id", F.expr("cast(book_id % 80 + 20 as int)").alias("page_count")))
+    return L.outline_level(o, twins(t).select("book_id", F.expr("cast(book_id % 80 + 20 as int)").alias("page_count")))
 
 
 @query("chp_from_anchors", """WITH f AS (SELECT c.book_id, c.text_start, min_by(a.audio_ms, CAST(a.char_offset AS BIGINT) * 10000000 + a.audio_ms) AS t_at, min(c.title) AS title FROM chapters c
-      JOIN (SELECT * FROM anchors WHERE confidence > 0.6) a ON a.book_id = c.book_id AND a.char_offset >= c.text_start AND a.char_offset < c.text_end GROUP BY 1, 2),
+      JOIN anchors a ON a.book_id = c.book_id AND a.char_offset >= c.text_start AND a.char_offset < c.text_end GROUP BY 1, 2),
     k AS (SELECT * FROM (SELECT *, max(t_at) OVER (PARTITION BY book_id ORDER BY text_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f) WHERE m IS NULL OR t_at > m)
     SELECT k.book_id, CAST(row_number() OVER w - 1 AS INT) AS chapter_idx, title, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE t_at END AS start_ms,
-      coalesce(lead(t_at) OVER w, greatest(duration_ms, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE t_at END + 1)) AS end_ms FROM k JOIN timeline_books b USING (book_id) WINDOW w AS (PARTITION BY k.book_id ORDER BY text_start)
-    UNION ALL SELECT book_id, 0, 'Chapter 1', 0, greatest(duration_ms, 1) FROM timeline_books WHERE book_id NOT IN (SELECT book_id FROM f)""".replace("WITH f AS", "SELECT * FROM (WITH f AS") + ")", ["chapters", "anchors", "timeline_books"])
+      coalesce(lead(t_at) OVER w, greatest(duration_ms, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE t_at END + 1)) AS end_ms FROM k JOIN timeline_twins b USING (book_id) WINDOW w AS (PARTITION BY k.book_id ORDER BY text_start)
+    UNION ALL SELECT book_id, 0, 'Chapter 1', 0, greatest(duration_ms, 1) FROM timeline_twins WHERE book_id NOT IN (SELECT book_id FROM f)""".replace("WITH f AS", "SELECT * FROM (WITH f AS") + ")", ["chapters", "anchors", "timeline_twins"])
 def _(t: Tables):
-    return L.chapters_from_anchors(t.chapters, t.anchors.filter("confidence > 0.6"), t.timeline_books)
+    return L.chapters_from_anchors(t.chapters, t.anchors, timeline_twins(t))
 
 
 @query("chp_server_marks", """WITH m AS (SELECT l_orderkey AS book_id, l_linenumber AS chapter_idx, 'C' || l_linenumber AS title, CAST(round_even(a * 1000, 0) AS BIGINT) AS start_ms, CAST(round_even(z * 1000, 0) AS BIGINT) AS end_ms FROM (
@@ -438,7 +451,7 @@ def _(t: Tables):
 @query("agg_write_report", """SELECT book_id, CAST(sum(s) AS BIGINT) AS sentences, CAST(sum(t) AS BIGINT) AS timed, count(*) AS documents, count(*) FILTER (t > 0) AS with_overlay FROM (
     SELECT q.book_id, q.spine_idx, count(*) AS s, count(x.idx) AS t FROM sentences q LEFT JOIN sent_times x ON x.book_id = q.book_id AND x.idx = q.idx GROUP BY 1, 2) GROUP BY 1""", ["sentences", "sent_times"])
 def _(t: Tables):
-    return L.write_report(t.sentences, M.sentence_times(t.sentences, tidy(t)))
+    return L.write_report(t.sentences, M.sentence_times(t.sentences, t.maps))
 
 
 @query("agg_corpus_profile", """SELECT source, CAST(sum(n) AS BIGINT) AS documents, CAST(sum(chars) AS BIGINT) AS characters, CAST(sum(ls) AS BIGINT) AS lines, max_by(lang, n * 100 + ascii(lang)) FILTER (lang IS NOT NULL) AS language FROM (

@@ -119,44 +119,35 @@ def _(t: Tables):
     return M.audio_at_or_after(t.points, t.maps, t.chapters, t.sentences, 400).select("event_id", "book_id", "at_char", "audio_ms")
 
 
-# Anchors kept inside their own chapter's text, so that chapter maps are disjoint in text.
-register_sql("tidy", ["maps"], "SELECT * FROM maps WHERE char_offset // 9000 = chapter_idx")
-register_sql("tidy_bounds", ["tidy"], """SELECT book_id, chapter_idx, count(*) AS n, min(audio_ms) AS first_ms, max(audio_ms) AS last_ms,
-    min(char_offset) AS first_char, max(char_offset) AS last_char FROM tidy GROUP BY 1, 2""")
-register_sql("tidy_seg", ["tidy"], """SELECT book_id, chapter_idx, audio_ms AS a, char_offset AS x, lead(audio_ms) OVER w AS b, lead(char_offset) OVER w AS y
-    FROM tidy WINDOW w AS (PARTITION BY book_id, chapter_idx ORDER BY audio_ms)""")
-register_sql("sent_times", ["sentences", "tidy_bounds", "tidy_seg"], f"""
+# Chapter maps may overlap in text: the first chapter whose map covers both ends of a sentence times it.
+register_sql("sent_times", ["sentences", "bounds", "seg_ms"], f"""
     SELECT book_id, idx, start, CAST(begin_ms AS BIGINT) AS begin_ms, CAST(end_ms AS BIGINT) AS end_ms FROM (
       SELECT p.book_id, p.idx, p.start, {CHAR_TO_MS.format(c='p.start')} AS begin_ms,
              {CHAR_TO_MS.format(c='p.upto').replace('s.', 'e.')} AS end_ms
       FROM (SELECT q.*, b.chapter_idx, CASE WHEN nxt <= b.last_char THEN nxt ELSE "end" END AS upto FROM (
               SELECT *, lead(start) OVER (PARTITION BY book_id ORDER BY start) AS nxt FROM sentences) q
-            JOIN tidy_bounds b ON b.book_id = q.book_id AND b.n > 1 AND q.start BETWEEN b.first_char AND b.last_char
-              AND greatest(q.start, q."end" - 1) <= b.last_char) p
-      JOIN tidy_bounds b ON b.book_id = p.book_id AND b.chapter_idx = p.chapter_idx
-      LEFT JOIN tidy_seg s ON s.book_id = p.book_id AND s.chapter_idx = p.chapter_idx AND p.start >= s.x AND p.start < s.y
-      LEFT JOIN tidy_seg e ON e.book_id = p.book_id AND e.chapter_idx = p.chapter_idx AND p.upto >= e.x AND p.upto < e.y)
+            JOIN bounds b ON b.book_id = q.book_id AND b.n > 1 AND q.start BETWEEN b.first_char AND b.last_char
+              AND greatest(q.start, q."end" - 1) <= b.last_char QUALIFY row_number() OVER (PARTITION BY q.book_id, q.idx ORDER BY b.chapter_idx) = 1) p
+      JOIN bounds b ON b.book_id = p.book_id AND b.chapter_idx = p.chapter_idx
+      LEFT JOIN seg_ms s ON s.book_id = p.book_id AND s.chapter_idx = p.chapter_idx AND p.start >= s.x AND p.start < s.y
+      LEFT JOIN seg_ms e ON e.book_id = p.book_id AND e.chapter_idx = p.chapter_idx AND p.upto >= e.x AND p.upto < e.y)
     WHERE end_ms > begin_ms""")
 
 
-def tidy(t: Tables):
-    return t.maps.filter("char_offset div 9000 = chapter_idx")
-
-
 @query("map_sentence_times", "SELECT * FROM sent_times", ["sent_times"])
 def _(t: Tables):
-    return M.sentence_times(t.sentences, tidy(t))
+    return M.sentence_times(t.sentences, t.maps)
 
 
 register_sql("spans", ["ev"], """SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY s, event_id) - 1 AS BIGINT) AS idx,
-    s AS begin_ms, s + CAST(value * 100 AS BIGINT) AS end_ms FROM ev""")
+    s AS begin_ms, s + CAST(value * 100 AS BIGINT) - CASE WHEN event_id % 11 = 0 THEN 5000 ELSE 0 END AS end_ms FROM ev""")
 
 
 def spans(t: Tables):
     from versoline.operators import primitives as P
 
     s = P.scan(t.ev, ["book_id"], ["s", "event_id"], P.slice_of("s", 600_000), {"idx": P.row_index()})
-    return s.select("book_id", "idx", F.col("s").alias("begin_ms"), F.expr("s + cast(round(value * 100) as bigint)").alias("end_ms"))
+    return s.select("book_id", "idx", F.col("s").alias("begin_ms"), F.expr("s + cast(round(value * 100) as bigint) - case when event_id % 11 = 0 then 5000 else 0 end").alias("end_ms"))
 
 
 @query("map_spans_close_gaps", """SELECT book_id, idx, begin_ms, e AS end_ms FROM (
@@ -167,7 +158,7 @@ def _(t: Tables):
 
 
 @query("map_no_overlap_clips", """SELECT book_id, idx, b AS begin_ms, e AS end_ms FROM (
-    SELECT *, least(greatest(begin_ms, coalesce(max(e) OVER (PARTITION BY book_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), duration_ms) AS b FROM (
+    SELECT *, least(greatest(begin_ms, coalesce(max(CASE WHEN e > greatest(begin_ms, 0) THEN e END) OVER (PARTITION BY book_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), duration_ms) AS b FROM (
       SELECT s.*, duration_ms, least(greatest(end_ms, 0), duration_ms) AS e FROM spans s JOIN timeline_books USING (book_id))) WHERE e > b""",
        ["spans", "timeline_books"])
 def _(t: Tables):
@@ -226,12 +217,11 @@ def all_chapters(t: Tables):
     coalesce(min(CASE WHEN heard IS NULL THEN chapter_idx END), max(chapter_idx) + 1) - 1 AS through,
     min(CASE WHEN heard = false AND chapter_idx <= claimed THEN chapter_idx END) AS heal_from
     FROM (SELECT c.book_id, c.chapter_idx, h.heard, c.book_id % 5 AS claimed FROM all_chapters c
-      LEFT JOIN (SELECT book_id, chapter_idx, bool_or(confidence > 0.2) AS heard FROM anchors WHERE event_id % 7 = 0 GROUP BY 1, 2) h USING (book_id, chapter_idx))
+      LEFT JOIN (SELECT book_id, chapter_idx, bool_or(confidence > 0.2) AS heard FROM anchors GROUP BY 1, 2) h USING (book_id, chapter_idx))
     GROUP BY 1""", ["all_chapters", "anchors"])
 def _(t: Tables):
-    sparse = t.anchors.filter("event_id % 7 = 0")
     claimed = t.timeline_books.select("book_id", (F.col("book_id") % 5).alias("claimed_through"))
-    return M.chapter_progress(sparse, all_chapters(t), claimed)
+    return M.chapter_progress(t.anchors, all_chapters(t), claimed)
 
 
 @query("qa_error_report", f"""SELECT book_id, count(*) AS n, round(avg(d), 6) AS bias,
