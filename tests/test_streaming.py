@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from versoline.sources import buckets, mapstore
+from versoline.sources import mapstore, versions
 from versoline.streaming import anchors as SA
 from versoline.streaming import positions as S
 from versoline.streaming import watch as W
@@ -54,7 +54,7 @@ def test_position_upsert_survives_disorder_and_restart(spark, tmp_path):
     feed(spark, src, EVENTS, shuffled[60:])
     run(S.stream_upsert(stream(spark, src, EVENTS), out, ck))
     cols = ["book_id", "audio_ms", "text_offset", "speed", "updated"]
-    got = buckets.stored(spark, out, S.STATE).select(*cols)
+    got = S.state(spark, out).select(*cols)
     want = S.latest(spark.createDataFrame(rows, EVENTS)).select(*cols)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
@@ -142,11 +142,11 @@ def test_library_watch_resumes(spark, tmp_path):
     src, listing, state, ck = (str(tmp_path / x) for x in ("in", "listing", "state", "ck"))
     feed(spark, src, W.FILES, [("/lib/a/Book.epub", 10, 1), ("/lib/a/1.mp3", 5, 1)], [("/lib/b/Other.epub", 10, 1)])
     run(W.stream_watch(stream(spark, src, W.FILES), listing, state, "better", ck))
-    first = {r.key: (r.status, r.fingerprint) for r in buckets.stored(spark, state, W.STATE).collect()}
+    first = {r.key: (r.status, r.fingerprint) for r in W.state(spark, state).collect()}
     assert set(first) == {"/lib/a/Book.epub"} and first["/lib/a/Book.epub"][0] == "Waiting"
     feed(spark, src, W.FILES, [("/lib/b/x.mp3", 7, 2), ("/lib/a/1.mp3", 6, 2)])
     run(W.stream_watch(stream(spark, src, W.FILES), listing, state, "better", ck))
-    second = {r.key: (r.status, r.fingerprint) for r in buckets.stored(spark, state, W.STATE).collect()}
+    second = {r.key: (r.status, r.fingerprint) for r in W.state(spark, state).collect()}
     assert set(second) == {"/lib/a/Book.epub", "/lib/b/Other.epub"}
     assert second["/lib/a/Book.epub"][1] != first["/lib/a/Book.epub"][1]
 
@@ -166,3 +166,20 @@ def test_map_store_and_packages(spark, tmp_path):
     spark.createDataFrame([("not json",), ('{"version": 1}',)], "value string").write.mode("append").text(out)
     back = mapstore.import_packages(spark, out)
     assert back.count() == 150 and back.select(F.sum("audio_ms")).first()[0] == maps.select(F.sum("audio_ms")).first()[0]
+
+
+def test_versions_count_when_committed(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    row = lambda b, t, c: (b, 0, t, t, c)
+    frame = lambda *rows: spark.createDataFrame(list(rows), mapstore.ANCHORS)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    mapstore.save(frame(row(1, 1, 0.0), row(1, 2, 0.9), row(2, 1, 0.5)), path)
+    # the writer dies after its files and before its commit
+    versions.write(frame(row(1, 7, 0.7)), path, 2)
+    assert key(mapstore.stored(spark, path)) == [row(1, 1, 0.0), row(1, 2, 0.9), row(2, 1, 0.5)]
+    mapstore.save(frame(row(2, 3, 0.3)), path)
+    assert key(mapstore.stored(spark, path)) == [row(1, 1, 0.0), row(1, 2, 0.9), row(2, 3, 0.3)]
+    for k in range(versions.KEPT + 3):
+        mapstore.save(frame(row(3, k, 0.1)), path)
+    assert key(mapstore.stored(spark, path)) == [row(1, 1, 0.0), row(1, 2, 0.9), row(2, 3, 0.3), row(3, versions.KEPT + 2, 0.1)]
+    assert len(versions._commits(spark, path)) < versions.KEPT

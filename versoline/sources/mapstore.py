@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from versoline.operators import anchors as A
 from versoline.operators import primitives as P
-from versoline.sources import buckets
+from versoline.sources import versions
 
 ANCHORS = "book_id bigint, chapter_idx int, audio_ms bigint, char_offset int, confidence double"
 
 
 def save(anchors: DataFrame, path: str) -> None:
-    """Replace the stored maps of these books; other books of the same buckets stay."""
-    def keep_others(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.join(new.select("book_id").distinct(), "book_id", "left_anti").select(*new.columns).unionByName(new)
+    """Replace the stored maps of these books; those of other books stay."""
+    versions.append(anchors, path, ANCHORS, lambda rows: versions.latest(rows, "book_id"))
 
-    buckets.replace(anchors.select("book_id", "chapter_idx", "audio_ms", "char_offset", "confidence"), path, "book_id", ANCHORS, keep_others)
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The anchors as they were saved, whatever their confidence; None when there is no store."""
+    rows = versions.stored(spark, path, ANCHORS)
+    return None if rows is None else versions.latest(rows, "book_id")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored maps, made consistent again; None when there is no store."""
-    rows = buckets.stored(spark, path, ANCHORS)
-    return None if rows is None else A.consistent_run(rows.drop("bucket"))
+    rows = stored(spark, path)
+    return None if rows is None else A.consistent_run(rows)
 
 
 PACKAGE = (

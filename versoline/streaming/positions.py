@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from versoline.operators import anchors as A
 from versoline.operators import maps as M
 from versoline.operators import primitives as P
-from versoline.sources import buckets
+from versoline.sources import versions
 
 FIELDS = ["audio_ms", "text_offset", "speed"]
 STATE = "book_id bigint, audio_ms bigint, text_offset int, speed double, audio_ms_at timestamp, text_offset_at timestamp, speed_at timestamp, updated timestamp"
@@ -30,22 +30,30 @@ def latest(events: DataFrame) -> DataFrame:
         F.max("ts").alias("updated"))
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two partial states into one; the later event wins, so a replayed batch changes nothing."""
-    both = old.select(*new.columns).unionByName(new)
-    return both.groupBy("book_id").agg(
+def merged(states: DataFrame) -> DataFrame:
+    """Partial states into one per book; the later event wins, so a replayed batch changes nothing."""
+    return states.groupBy("book_id").agg(
         *[F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(f"{f}_at", f))).alias(f) for f in FIELDS],
         *[F.max(f"{f}_at").alias(f"{f}_at") for f in FIELDS], F.max("updated").alias("updated"))
 
 
 def stream_upsert(events: DataFrame, path: str, checkpoint: str):
-    """Keep the state table at ``path`` up to date from a stream of position events."""
+    """Keep the state table at ``path`` up to date from a stream of position events.
+
+    A batch writes the books it speaks of and nothing else; readers merge the versions.
+    """
     def write(batch: DataFrame, _: int) -> None:
-        buckets.replace(latest(batch), path, "book_id", STATE, merged)
+        versions.append(latest(batch), path, STATE, merged)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state that ``stream_upsert`` keeps; None before its first batch."""
+    rows = versions.stored(spark, path, STATE)
+    return None if rows is None else merged(rows)
+
+
 def throttled(events: DataFrame, every: str = "30 seconds") -> DataFrame:
     """One update per window, book and medium: the latest value in it.  Batch, or stream after a watermark."""
     return events.groupBy("book_id", "medium", F.window("ts", every).alias("w")).agg(
