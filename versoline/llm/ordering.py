@@ -93,7 +93,7 @@ def shards(documents: DataFrame, key: int = 20_240_229, length: int = 256, per_s
     total = per_task.agg(F.sum("n")).first()[0] or 0
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the writing job
     base = per_task.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = found.join(base, "task")
+    numbered = found.join(F.broadcast(base), "task")  # two numbers per task of the writing job, 16 bytes for each split of the input
 
     def assign(batches):
         for batch in batches:
