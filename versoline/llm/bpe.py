@@ -14,12 +14,12 @@ the whole is text again.  Null and empty texts have no ids.  Repeated and null i
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +57,11 @@ def encode(documents: DataFrame, path: str | None = None, chunk: int = 1 << 16,
             yield then(batch.column("doc_id"), [encoder.ids(t) for t in batch.column("text").to_pylist()])
 
     def cut(batches):
+        task, texts = TaskContext.get().partitionId(), 0  # a task that is run again gives its texts the same numbers
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                row, n = uuid.uuid4().bytes, -(-len(text) // chunk)
+                row, n = (task << 64 | texts).to_bytes(16, "big"), -(-len(text) // chunk)
+                texts += 1
                 for k in range(n):
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((row, doc, k, n, text[k * chunk : (k + 1) * chunk + overlap]), kinds)], names)
 
