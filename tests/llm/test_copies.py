@@ -67,6 +67,48 @@ def test_one_stays(spark, edge_rows, family):
     assert [ids[k] for k in (1, 2, 3, 4, 5, 8)] == [1, 1, 1, 1, 0, 0] and ids[6] == 1 and ids[7] == 1
 
 
+def test_columns_of_any_name(spark, family):
+    docs = make(spark, family[:20])
+    for name in ("__node", "node", "mark_0", "LEAST_0", "digest_0"):
+        docs = docs.withColumn(name, docs["lang"])
+    kept = near_dups.keep_one(docs)
+    assert kept.columns == docs.columns and kept.where("mark_0 = 'en'").count() == kept.count() > 0
+
+
+def test_elements_give_the_similarity_of_counts(prose):
+    a = prose(60)
+    texts = [t.encode() for t in (a, a + " " + a, prose(20) + " " + a, "one two", "one two one two one two one two one two", "", "é " * 30)]
+    sets = near_dups.elements(texts)
+    for x, s in zip(texts, sets):
+        for y, t in zip(texts, sets):
+            both = len(np.intersect1d(s, t))
+            assert abs(both / max(1, len(s) + len(t) - both) - near_dups.similarity(x, y)) < 1e-12
+
+
+@pytest.mark.parametrize("block_bytes", [2_000, 8_000_000])
+def test_links_inside_blocks_join_what_all_pairs_join(spark, prose, block_bytes):
+    """One bucket, no links yet: the forest's components are those of all pairs."""
+    rng = np.random.default_rng(6)
+    base = prose(80).split()
+    texts = {}
+    for k in range(60):
+        w = list(base)
+        for p in rng.choice(len(w), rng.integers(0, 9), replace=False):
+            w[p] = f"y{rng.integers(1000)}"
+        texts[b"%03d" % k] = " ".join(w).encode()
+    signs = spark.createDataFrame([(n, bytes(192), len(t)) for n, t in texts.items()], "node binary, sign binary, size bigint")
+    shared = spark.createDataFrame([(7, 0, n) for n in texts], "bucket bigint, band int, node binary")
+    table = spark.createDataFrame(list(texts.items()), "node binary, text binary")
+    labels = spark.createDataFrame([], "node binary, component binary")
+    links = near_dups.loose_links(shared, labels, signs, table, 0.8, 0.6, 32, 6, block_bytes)
+    rows = links.collect()
+    assert all(near_dups.similarity(texts[bytes(r["a"])], texts[bytes(r["b"])]) >= 0.8 for r in rows)
+    assert len(rows) < len(texts) or block_bytes < 8_000_000
+    got = {bytes(r["node"]): bytes(r["component"]) for r in near_dups.components(links).collect()}
+    want = classes([(int(n), t.decode()) for n, t in texts.items()])
+    assert collections.Counter((int(n), int(got.get(n, n))) for n in texts) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     elements = rng.integers(1, 1 << 62, 300).astype(np.uint64)

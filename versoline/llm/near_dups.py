@@ -13,7 +13,8 @@ bucket keys.  In each bucket every class is compared with its most central one (
 all; a compare is exact, on the texts.  Links of ``threshold`` or more join classes into components.  In buckets that still
 hold several components, the classes outside the largest one are held against the rest by signature, in blocks of bounded
 size: first each against its few most promising partners, then, for what is still loose, against all whose signature does not
-rule out a link (3.8 standard deviations).  So components come out as if all pairs had been compared, up to a chance of about
+rule out a link (3.8 standard deviations).  These last compares are made inside the blocks, on shingles, and only a spanning
+forest of the links leaves a block.  So components come out as if all pairs had been compared, up to a chance of about
 1e-4 per link of exactly 0.8 (3e-5 at 0.81) that no other link stands in for; 32 bands of 6 find a pair of similarity 0.8 with
 probability 0.9999.
 
@@ -141,7 +142,7 @@ def word_digest(text: bytes) -> bytes:
 
 
 def sketch(documents: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (digest of the words), bands, sign (a byte per coordinate).  Narrow."""
+    """doc_id, node (digest of the words), bands, sign (a byte per coordinate), size (bytes of the text).  Narrow."""
 
     def run(batches):
         for batch in slices(batches, "text", 2_000_000):
@@ -154,10 +155,10 @@ def sketch(documents: DataFrame, bands: int, rows: int) -> DataFrame:
             sign = mix(signed.view(U64)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([word_digest(t) for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array([x.tobytes() for x in sign], pa.binary())], ["doc_id", "node", "bands", "sign"])
+                 pa.array([x.tobytes() for x in sign], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "node", "bands", "sign", "size"])
 
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, sign binary")
+    return own.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, sign binary, size bigint")
 
 
 def similarity(a: bytes, b: bytes, size: int = SHINGLE) -> float:
@@ -221,44 +222,153 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def loose_pairs(shared: DataFrame, labels: DataFrame, signs: DataFrame, cut: float, bands: int, rows: int, best: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose signatures agree in a share of ``cut`` or more; with ``best``
-    only so many per class and block.  One side is always outside the bucket's largest component.  Both sides are dealt into
-    blocks of about a thousand, so a bucket of any size is spread over many tasks."""
+def deal(shared: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
+    """Rows (bucket, band, i, j, side, node, component, sign) of buckets that still hold several components.  One side is always
+    outside the bucket's largest component.  Both sides are dealt into blocks of about a thousand, so a bucket of any size is
+    spread over many tasks."""
     part = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = part.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"),
                                        F.max("n").alias("most"), F.sum("n").alias("n")).where("parts > 1")
     spread = part.join(main.select("bucket", "main", F.expr("cast(ceil((n - most) / 1000) as int)").alias("cl"), F.expr("cast(ceil(n / 1000) as int)").alias("cr")), "bucket")
-    spread = spread.join(signs, "node").select("bucket", "band", "node", "component", "sign", "main", "cl", "cr")
-    left = spread.where("component != main").withColumn("i", F.pmod(F.xxhash64("node"), "cl").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, cr - 1)"))).withColumn("side", F.lit(0))
-    right = spread.withColumn("j", F.pmod(F.xxhash64("node"), "cr").cast("int")).withColumn("i", F.explode(F.expr("sequence(0, cl - 1)"))).withColumn("side", F.lit(1))
-    blocks = left.unionByName(right).select("bucket", "band", "i", "j", "side", "node", "component", "sign")
-    tasks = 4 * shuffle_partitions(shared.sparkSession)
+    spread = spread.join(signs.select("node", "sign"), "node").select("bucket", "band", "node", "component", "sign", "main", "cl", "cr")
+    return two_sides(spread.where("component != main"), spread, "i", "j").select("bucket", "band", "i", "j", "side", "node", "component", "sign")
+
+
+def two_sides(left: DataFrame, right: DataFrame, i: str, j: str) -> DataFrame:
+    """Both sides of a grid of ``cl`` by ``cr`` blocks: a row lies in one line of blocks (left) or one column (right)."""
+    left = left.withColumn(i, F.pmod(F.xxhash64("node"), "cl").cast("int")).withColumn(j, F.explode(F.expr("sequence(0, cr - 1)"))).withColumn("side", F.lit(0))
+    right = right.withColumn(j, F.pmod(F.xxhash64("node"), "cr").cast("int")).withColumn(i, F.explode(F.expr("sequence(0, cl - 1)"))).withColumn("side", F.lit(1))
+    return left.unionByName(right)
+
+
+def block_by_block(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """``work`` (a block's rows to a list of rows) for every block of equal ``keys``; a task holds one block at a time."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(frames):
+        held, last, out = [], None, []
+        for pdf in frames:
+            values = pdf[keys].to_numpy(np.int64)
+            starts = np.flatnonzero(np.append(True, (values[1:] != values[:-1]).any(1))) if len(pdf) else []
+            for start, stop in zip(starts, [*starts[1:], len(pdf)]):
+                key = tuple(values[start])
+                if held and key != last:
+                    out += work(pd.concat(held))
+                    held = []
+                    if len(out) > 10_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                held.append(pdf.iloc[start:stop])
+                last = key
+        if held:
+            out += work(pd.concat(held))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def alike(block: pd.DataFrame, cut: float, bands: int, rows: int, best: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (left, right) in ``block`` and equal share of all pairs across its sides, of different components, whose
+    signatures agree in a share of ``cut`` or more and whose first common band is this one; with ``best`` only so many per row."""
+    band, side = int(block["band"].iloc[0]), block["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(left) and len(right):
+        signs = np.frombuffer(b"".join(block["sign"]), np.uint8).reshape(len(block), -1)
+        signs_r, parts = signs[right], pd.factorize(block["component"])[0]
+        for l in left:
+            same = signs_r == signs[l]
+            share = (same.mean(1) - 1 / 256) * 256 / 255
+            at = np.flatnonzero((share >= cut) & (parts[right] != parts[l]))
+            if best is not None and len(at) > best:
+                at = at[np.argsort(-share[at], kind="stable")[:best]]
+            if len(at):  # each pair in its first common bucket only
+                at = at[same[at].reshape(len(at), bands, rows).all(2).argmax(1) == band]
+            found.append((np.full(len(at), l), right[at], share[at]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def loose_pairs(shared: DataFrame, labels: DataFrame, signs: DataFrame, cut: float, bands: int, rows: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose signatures agree in a share of ``cut`` or more; with ``best``
+    only so many per class and block."""
+
+    def pairs(block):
+        l, r, _ = alike(block, cut, bands, rows, best)
+        nodes = block["node"].to_numpy()
+        return list(dict.fromkeys((min(x, y), max(x, y)) for x, y in zip(nodes[l], nodes[r])))
+
+    return block_by_block(deal(shared, labels, signs), ["bucket", "i", "j"], pairs, "a binary, b binary").distinct()
+
+
+def elements(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text as a sorted set of numbers, one for every occurrence of a shingle, so that the Jaccard similarity of two sets
+    is the weighted one of the counts (64-bit hashes: two shingles of a pair of texts meet with a chance of about 1e-13)."""
+    codes, docs, words = word_table(texts)
+    d, s, c = shingles(codes, docs, hash_words([w.decode("utf-8", "replace") for w in words]), len(texts))
+    which = np.repeat(np.arange(len(s)), c)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
+    e = mix(s[which] + U64(0x9E3779B97F4A7C15) * turn.astype(U64))
+    ends = np.cumsum(np.bincount(d[which], minlength=len(texts)))[:-1] if len(texts) else []
+    return [np.sort(x) for x in np.split(e, ends)]
+
+
+def loose_links(shared: DataFrame, labels: DataFrame, signs: DataFrame, texts: DataFrame, threshold: float, cut: float, bands: int, rows: int,
+                block_bytes: int = 8_000_000) -> DataFrame:
+    """Links (a, b) that join the components of every bucket as if all its pairs of ``cut`` or more had been compared.  The
+    pairs never become rows: a first pass names the classes of each block that have a promising partner there, a second one
+    compares them in the block by their shingles and gives a spanning forest, at most a row per class and block.  Blocks of
+    long texts are cut again, to about ``block_bytes`` a side."""
+    grid = ["bucket", "i", "j"]
+
+    def name(block):
+        l, r, _ = alike(block, cut, bands, rows)
+        at = np.unique(np.concatenate([l, r]))
+        return list(block.iloc[at][["bucket", "band", "i", "j", "side", "node", "component"]].itertuples(index=False, name=None))
+
+    met = stage(block_by_block(deal(shared, labels, signs), grid, name, "bucket bigint, band int, i int, j int, side int, node binary, component binary"))
+    known = met.join(signs, "node")
+    many = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("size")).otherwise(0)) / block_bytes).cast("int")
+    loads = known.groupBy(*grid).agg(F.greatest(many(0), F.lit(1)).alias("cl"), F.greatest(many(1), F.lit(1)).alias("cr"))
+    known = known.join(loads, grid)
+    cells = two_sides(known.where("side = 0").drop("side"), known.where("side = 1").drop("side"), "u", "v")
+    ready = cells.join(texts, "node").select(*grid, "u", "v", "band", "side", "node", "component", "sign", "text")
+
+    def forest(block):
+        l, r, share = alike(block, cut, bands, rows)
+        order = np.argsort(-share, kind="stable")
+        nodes, parts = block["node"].to_numpy(), pd.factorize(block["component"])[0].tolist()
+        above = list(range(len(block)))
+        sets: dict[int, np.ndarray] = {}
+        held = block["text"].to_numpy()
+        use, size = [], 0
+        for k in np.unique(np.concatenate([l, r])).tolist():  # shingles of about a megabyte of text at a time
+            use.append(k)
+            size += len(held[k])
+            if size > 1_000_000:
+                sets.update(zip(use, elements([held[x] for x in use])))
+                use, size = [], 0
+        sets.update(zip(use, elements([held[x] for x in use])))
+
+        def root(k):
+            while above[k] != k:
+                above[k] = above[above[k]]
+                k = above[k]
+            return k
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, _, _), block in pdf.groupby(["bucket", "i", "j"], sort=False):
-            band = int(block["band"].iloc[0])
-            l, r = block[block["side"] == 0], block[block["side"] == 1]
-            if not len(l):
+        for x, y in zip(l[order].tolist(), r[order].tolist()):
+            p, q = root(parts[x]), root(parts[y])
+            if p == q:
                 continue
-            signs_r = np.frombuffer(b"".join(r["sign"]), np.uint8).reshape(len(r), -1)
-            nodes_r, parts_r = r["node"].to_numpy(), r["component"].to_numpy()
-            for node, part, sign in zip(l["node"], l["component"], l["sign"]):
-                same = signs_r == np.frombuffer(sign, np.uint8)
-                share = (same.mean(1) - 1 / 256) * 256 / 255
-                ok = (share >= cut) & (parts_r != part)
-                at = np.flatnonzero(ok)
-                if best is not None and len(at) > best:
-                    at = at[np.argsort(-share[at], kind="stable")[:best]]
-                if len(at):  # each pair in its first common bucket only
-                    at = at[same[at].reshape(len(at), bands, rows).all(2).argmax(1) == band]
-                out += [(min(node, nodes_r[k]), max(node, nodes_r[k])) for k in at]
-        return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
-
-    dealt = blocks.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(pairs, "a binary, b binary").distinct()
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both >= threshold * (len(sets[x]) + len(sets[y]) - both):
+                above[p] = q
+                out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return out
+
+    return block_by_block(ready, [*grid, "u", "v"], forest, "a binary, b binary").distinct()
 
 
 def sweep_cut(threshold: float, coordinates: int) -> float:
@@ -290,13 +400,13 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 3
     # a text without any id can't be fetched by it: its digest is looked up among the rows without id
     by_id = wanted.where("least is not null").join(own, F.col("least") == F.col("doc_id")).select("node", "text")
     texts = stage(by_id.mapInArrow(same, "node binary, text binary").unionByName(unnamed_texts(own, wanted)).dropDuplicates(["node"]))
-    signs = sketched.where(F.length("node") > 0).groupBy("node").agg(F.first("sign").alias("sign"))
+    signs = sketched.where(F.length("node") > 0).groupBy("node").agg(F.first("sign").alias("sign"), F.max("size").alias("size"))
     links = stage(compare(star, texts).where(F.col("similarity") >= threshold).select("a", "b"))
     labels = components(links)
     cut = sweep_cut(threshold, bands * rows)
-    for best in (3, None):
-        late = compare(loose_pairs(shared, labels, signs, cut, bands, rows, best), texts).where(F.col("similarity") >= threshold)
-        late = stage(late.select("a", "b"))
+    near = compare(loose_pairs(shared, labels, signs, cut, bands, rows, 3), texts).where(F.col("similarity") >= threshold).select("a", "b")
+    for find in (lambda: near, lambda: loose_links(shared, labels, signs, texts, threshold, cut, bands, rows)):
+        late = stage(find())
         if not late.isEmpty():
             links = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(late).distinct())
             labels = components(links)
@@ -312,16 +422,19 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 3
 
 
 def keep_one(documents: DataFrame, **settings) -> DataFrame:
-    """One document of each class, that of the least id, with its own columns; documents without words all stay."""
+    """One document of each class, that of the least id, with its own columns, whatever their names; documents without words
+    all stay."""
     found = near_duplicates(documents, **settings)
-    gone = stage(found.where((F.length("node") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__digest")).distinct())
-    schema = documents.select("*", F.lit(b"").alias("__node")).schema
+    taken = {c.lower() for c in documents.columns}
+    mark, least, digest_of = (next(n for k in range(len(taken) + 1) if (n := f"{base}_{k}") not in taken) for base in ("mark", "least", "digest"))
+    gone = stage(found.where((F.length("node") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(least), F.col("node").alias(digest_of)).distinct())
+    schema = documents.select("*", F.lit(b"").alias(mark)).schema
 
     def digest(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_digest(t) for t in texts_of(batch)], pa.binary())], [*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_digest(t) for t in texts_of(batch)], pa.binary())], [*batch.schema.names, mark])
 
     marked = documents.mapInArrow(digest, schema)
-    worded = marked.where(F.length("__node") > 0)
-    kept = worded.join(gone, (F.col("__node") == F.col("__digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_anti")
-    return kept.dropDuplicates(["__node", "doc_id"]).unionByName(marked.where(F.length("__node") == 0)).drop("__node")
+    worded = marked.where(F.length(mark) > 0)
+    kept = worded.join(gone, (F.col(mark) == F.col(digest_of)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(least)), "left_anti")
+    return kept.dropDuplicates([mark, "doc_id"]).unionByName(marked.where(F.length(mark) == 0)).drop(mark)
