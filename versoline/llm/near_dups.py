@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import U64, hash_words, mix, shuffle_partitions, slices, stage, texts_of, word_table
+from versoline.llm.shared import U64, hash_words, mix, released, shuffle_partitions, slices, stage, texts_of, word_table
 
 SHINGLE = 5
 FIRST = -4  # the first rank cell is [0, 2 ** FIRST)
@@ -144,6 +144,7 @@ def word_digest(text: bytes) -> bytes:
 def sketch(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, node (digest of the words), bands, sign (a byte per coordinate), size (bytes of the text).  Narrow."""
 
+    @released
     def run(batches):
         for batch in slices(batches, "text", 2_000_000):
             texts = texts_of(batch)
@@ -181,6 +182,7 @@ def similarity(a: bytes, b: bytes, size: int = SHINGLE) -> float:
 def unnamed_texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of wanted digests that only rows without id have."""
 
+    @released
     def digest(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([word_digest(t) for t in texts_of(batch)], pa.binary()), batch.column("text")], ["node", "text"])
@@ -198,6 +200,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
               .select("a", "text_a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     salted = with_b.join(uses.select("a", "parts"), "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
 
+    @released
     def run(batches):
         for batch in batches:
             a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
@@ -246,6 +249,7 @@ def block_by_block(rows: DataFrame, keys: list[str], work, schema: str) -> DataF
     """``work`` (a block's rows to a list of rows) for every block of equal ``keys``; a task holds one block at a time."""
     names = [f.split()[0] for f in schema.split(", ")]
 
+    @released
     def run(frames):
         held, last, out = [], None, []
         for pdf in frames:
@@ -392,6 +396,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, bands: int = 3
     wanted = shared.select("node").distinct().join(sketched.groupBy("node").agg(F.min("doc_id").alias("least")), "node")
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
+    @released
     def same(batches):  # an id may be used twice; the digest decides which text is meant
         for batch in batches:
             keep = pa.array([word_digest(t) == n for t, n in zip(texts_of(batch), batch.column("node").to_pylist())], pa.bool_())
@@ -430,6 +435,7 @@ def keep_one(documents: DataFrame, **settings) -> DataFrame:
     gone = stage(found.where((F.length("node") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(least), F.col("node").alias(digest_of)).distinct())
     schema = documents.select("*", F.lit(b"").alias(mark)).schema
 
+    @released
     def digest(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_digest(t) for t in texts_of(batch)], pa.binary())], [*batch.schema.names, mark])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import slices, stage
+from versoline.llm.shared import released, slices, stage
 from versoline.llm.tokens import json_encoder
 
 END = 0
@@ -169,6 +169,7 @@ def pieces(documents: DataFrame, json_path: str, rank_path: str, capacity: int)
     """doc_id, piece, start, length, ids_crc32, and the task and the rank among the task's pieces of that length."""
     pattern = public_tokenizers.PATTERN
 
+    @released
     def run(batches):
         task, seen = TaskContext.get().partitionId(), {}
         encoder = json_encoder(json_path, rank_path, pattern)
@@ -188,6 +189,7 @@ def pieces(documents: DataFrame, json_path: str, rank_path: str, capacity: int)
                     rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * stop]), task, rank))
                     start = stop
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names)
+        encoder.forget()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

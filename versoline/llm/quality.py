@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import Sparse, hash_words, mix, sigmoid, slices, texts_of, word_table
+from versoline.llm.shared import Sparse, hash_words, mix, released, sigmoid, slices, texts_of, word_table
 
 PLACES = 1 << 16
 RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\W\d_]+")
@@ -112,6 +112,7 @@ def fit(documents: DataFrame, ratings: DataFrame, rating: str = "quality", max_r
     rated = ratings.where(F.col(rating).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(rating).alias("__y"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
+    @released
     def emit(batches):
         for batch in slices(batches, "text"):
             rows, ids, values = features(texts_of(batch))
@@ -139,6 +140,7 @@ def score(documents: DataFrame, model: Ordinal, least: int | None = None) -> Dat
     place = len(model.grades) // 2 if least is None else int(np.searchsorted(model.grades, least))
     spread = documents.sparkSession.sparkContext.broadcast(model)  # 65,569 weights
 
+    @released
     def run(batches):
         for batch in slices(batches, "text"):
             m = spread.value

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import U64, mix, shared_folder, shuffle_partitions, slices
+from versoline.llm.shared import U64, mix, release, released, shared_folder, shuffle_partitions, slices, texts_of
 
 GRAM = 26
 PIECE = 1 << 18
@@ -209,6 +209,7 @@ def stage_blocks(documents: DataFrame, block_mb: float) -> DataFrame:
     do not move the text."""
     spark = documents.sparkSession
 
+    @released
     def run(batches):
         task, number, waiting, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -241,7 +242,9 @@ def _settle(requests: DataFrame, reduce) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "blob": reduce(list(pdf["blob"]))})
+        out = pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "blob": reduce(list(pdf["blob"]))})
+        release()
+        return out
 
     answers = requests.groupBy("shard").applyInPandas(run, "block bigint, shard int, blob binary")
     return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias("replies"))
@@ -316,11 +319,19 @@ def _ids(ids: list) -> np.ndarray:
     return np.array([0 if i is None else i for i in ids], np.int64)
 
 
-def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 4.0) -> DataFrame:
-    """``documents`` with ``spans``: the removed stretches of each text as [start, end) pairs of bytes, maximal and in order."""
+def with_spans(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
+
+
+def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 4.0, finish=None, out_schema=None) -> DataFrame:
+    """``documents`` with ``spans``: the removed stretches of each text as [start, end) pairs of bytes, maximal and in order.
+    With ``finish``, a function of a batch and its spans that gives a batch of ``out_schema``, that is returned instead."""
     spark = documents.sparkSession
-    out_schema = documents.drop("spans").withColumn("spans", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))).schema
-    blocks = stage_blocks(documents.drop("spans"), block_mb)
+    if finish is None:
+        documents, finish = documents.drop("spans"), with_spans
+        out_schema = documents.withColumn("spans", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))).schema
+    blocks = stage_blocks(documents, block_mb)
     shards = shuffle_partitions(spark)
     request = "block bigint, shard int, blob binary"
 
@@ -340,6 +351,7 @@ def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 4.0)
                 del row, table, texts, ids
                 pa.default_memory_pool().release_unused()
 
+    @released
     def ask_keys(batches):
         for row, _, _, ids, parts in rows(batches):
             yield packed(row["block"], *_key_array([(p[0], None, None, None, p[4], p[5]) for p in parts], ids))
@@ -353,11 +365,13 @@ def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 4.0)
         flags = np.frombuffer(b"".join(replies(row["keys"])), np.uint8)
         return _strings(parts, ids, keys, flags)
 
+    @released
     def ask_strings(batches):
         for row, _, _, ids, parts in rows(batches):
             hashes, owner, _, _ = known_strings(row, ids, parts)
             yield packed(row["block"], *_least_of_strings(hashes, ids[owner]))
 
+    @released
     def cut(batches):
         for row, table, texts, ids, parts in rows(batches):
             hashes, owner, begin, end = known_strings(row, ids, parts)
@@ -375,8 +389,10 @@ def find_repeats(documents: DataFrame, length: int = 50, block_mb: float = 4.0)
                     spans[d][-1]["end"] = max(b, spans[d][-1]["end"])
                 else:
                     spans[d].append({"start": a, "end": b})
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield from table.append_column("spans", pa.array(spans, kind)).combine_chunks().to_batches()
+            first = 0
+            for batch in table.combine_chunks().to_batches():
+                yield finish(batch, spans[first : first + batch.num_rows])
+                first += batch.num_rows
 
     reply = "array<struct<shard:int,blob:binary>>"
     keyed = _settle(blocks.mapInArrow(ask_keys, request), _shared_keys).withColumnRenamed("replies", "keys")
@@ -396,33 +412,26 @@ def keep(text: bytes, spans) -> bytes:
 def repeats(documents: DataFrame, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def digest(batches):
-        for batch in batches:
-            texts, spans = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
-            kept = [keep(t or b"", s) for t, s in zip(texts, spans)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([len(t or b"") - len(k) for t, k in zip(texts, kept)], pa.int64()),
-                 pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def digest(batch, spans):
+        texts = texts_of(batch)
+        kept = [keep(t, s) for t, s in zip(texts, spans)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept)], pa.int64()),
+             pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = find_repeats(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), **settings)
-    return found.mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return find_repeats(own, finish=digest, out_schema="doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", **settings)
 
 
 def remove_repeats(documents: DataFrame, **settings) -> DataFrame:
-    """``documents`` with the repeated bytes cut from their texts; a code point that is cut through goes whole."""
-    spans = [c for c in documents.columns if c == "spans"]
-    renamed = documents.withColumnRenamed("spans", "__spans") if spans else documents
-    schema = renamed.schema
+    """``documents`` with the repeated bytes cut from their texts; a code point that is cut through goes whole.  All columns
+    stay, whatever their names."""
+    schema = documents.schema
 
-    def trim(batches):
-        at = schema.names.index("text")
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            kept = [None if t is None else keep(t, s).decode("utf-8", "ignore") for t, s in zip(texts, batch.column("spans").to_pylist())]
-            columns = [batch.column(n) for n in schema.names]
-            columns[at] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    out = find_repeats(renamed, **settings).mapInArrow(trim, schema)
-    return out.withColumnRenamed("__spans", "spans") if spans else out
+    def trim(batch, spans):
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        kept = [None if t is None else keep(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans)]
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(schema.names)], schema.names)
+
+    return find_repeats(documents, finish=trim, out_schema=schema, **settings)

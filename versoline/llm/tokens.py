@@ -49,6 +49,11 @@ class Encoder:
             return self.other(text)
         return self.core.encode_ordinary(text)
 
+    def forget(self) -> None:
+        """Empty the piece caches; the ranks stay for the worker's next task."""
+        self.first.clear()
+        self.later.clear()
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""

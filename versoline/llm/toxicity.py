@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import Sparse, hash_words, held_out, sigmoid, slices, stage, texts_of, word_table
+from versoline.llm.shared import Sparse, hash_words, held_out, released, sigmoid, slices, stage, texts_of, word_table
 
 #: Fixed word list: common public insults.
 LEXICON = [
@@ -192,6 +192,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, voters:
     texts = stage(texts.select("text", (F.col("__y") > 0).alias("toxic")))
     words = (hash_words(LEXICON) >> np.uint64(1)).astype(np.int64)
 
+    @released
     def tally(batches):  # how many texts, and toxic ones, have a feature
         for batch in slices(batches, "text"):
             rows, ids = features(texts_of(batch))
@@ -208,6 +209,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, voters:
     names = np.unique([r["id"] for r in telling.select("id").collect()]).astype(np.int64)
     spread = documents.sparkSession.sparkContext.broadcast(names)  # at most max_features
 
+    @released
     def emit(batches):
         for batch in slices(batches, "text"):
             rows, ids = features(texts_of(batch), spread.value)
@@ -236,6 +238,7 @@ def score(documents: DataFrame, model: Classifier) -> DataFrame:
     schema = kept.select("*", F.lit(0.0).alias("score")).schema
     spread = documents.sparkSession.sparkContext.broadcast(model)  # at most 4,096 weights
 
+    @released
     def run(batches):
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spread.value.score(texts_of(batch)))], [*batch.schema.names, "score"])
