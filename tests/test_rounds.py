@@ -23,3 +23,10 @@ def test_pairing_reads_the_listing_once(spark, tmp_path):
     assert {(r.key, r.path) for r in parts.collect()} == {
         ("/lib/a/One.epub", "/lib/a/one.mp3"), ("/lib/a/Two.epub", "/lib/a/two.mp3"), ("/lib/b/B.epub", "/lib/b/x.mp3"), ("/lib/b/B.epub", "/lib/b/y.mp3")}
     assert not [f for df in (books, parts) for f in df.inputFiles() if str(tmp_path) in f]
+
+
+def test_frequent_words_count_in_all_slices(spark):
+    # "both" is third in each slice and first in all of them; word 0 of a slice is the end.
+    rows = [(bytearray(M.pack(np.array([9, a, b, 7], np.uint64))), bytearray(M.pack(np.array([1, 5, 5, 4], np.uint32)))) for a, b in ((1, 2), (3, 4), (5, 6))]
+    cut = spark.createDataFrame(rows, "hashes binary, counts binary")
+    assert M.frequent_words(cut, 1).tolist() == [7]
