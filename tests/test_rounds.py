@@ -30,3 +30,8 @@ def test_frequent_words_count_in_all_slices(spark):
     rows = [(bytearray(M.pack(np.array([9, a, b, 7], np.uint64))), bytearray(M.pack(np.array([1, 5, 5, 4], np.uint32)))) for a, b in ((1, 2), (3, 4), (5, 6))]
     cut = spark.createDataFrame(rows, "hashes binary, counts binary")
     assert M.frequent_words(cut, 1).tolist() == [7]
+
+
+def test_sentence_ends_are_only_tried_at_marks(spark):
+    df = T.sentences(spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string"))
+    assert f"(?=[{T.TERMINATORS}])(?<!" in plan(df)

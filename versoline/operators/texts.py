@@ -97,7 +97,8 @@ def _sentence_mask(c: Column, abbreviations: list[str]) -> Column:
     run_char = f"[{TERMINATORS}{CLOSERS}]"
     known = "|".join(sorted(abbreviations, key=len, reverse=True))
     period = f"(?<!(?:^|[^\\p{{L}}])(?iu:{known}|\\p{{L}}))\\."
-    ends = (f"(?<![{TERMINATORS}]{run_char}{{0,40}})((?:{period}|[!?…]){run_char}*+)"
+    # The first look ahead changes no match: it spares all other characters the two looks behind.
+    ends = (f"(?=[{TERMINATORS}])(?<![{TERMINATORS}]{run_char}{{0,40}})((?:{period}|[!?…]){run_char}*+)"
             f"[{SPACE}](?=[{SPACE}]*[\\p{{Lu}}\\p{{Nd}}{OPENERS}])")
     marked = F.regexp_replace(c, ends, "$1\u0002")
     # White space next to a separator belongs to no sentence.
