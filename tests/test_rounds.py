@@ -35,3 +35,11 @@ def test_frequent_words_count_in_all_slices(spark):
 def test_sentence_ends_are_only_tried_at_marks(spark):
     df = T.sentences(spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string"))
     assert f"(?=[{T.TERMINATORS}])(?<!" in plan(df)
+
+
+def test_texts_are_cut_once_for_places(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "")], "doc_id int, text string")
+    asked = docs.select("doc_id", F.lit(4).alias("at_char"))
+    got = K.index_at_char(asked, K.tokens(docs))
+    assert {r.doc_id: r.tok_idx for r in got.collect()} == {1: 1, 2: 1, 3: 0}
+    assert "regexp_extract_all" not in plan(got)

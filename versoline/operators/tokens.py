@@ -31,7 +31,11 @@ def query_words(queries: DataFrame, key: str = "query_id", text: str = "text") -
 
 
 def index_at_char(offsets: DataFrame, toks: DataFrame, key: str = "doc_id", at: str = "at_char") -> DataFrame:
-    """First token starting at or after the offset; the token count when there is none."""
+    """First token starting at or after the offset; the token count when there is none.
+
+    The tokens are read four times, so their places are staged: texts are cut once.
+    """
+    toks = P.stage(toks.select(key, "tok_idx", "char_start"))
     total = toks.groupBy(key).agg(F.count("*").cast("int").alias("__n"))
     b = P.bracket(offsets, toks, [key], at, "char_start", ["tok_idx"], 256).join(total, key, "left")
     found = P.at_or_after("char_start", at)
