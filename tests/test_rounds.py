@@ -43,3 +43,19 @@ def test_texts_are_cut_once_for_places(spark):
     got = K.index_at_char(asked, K.tokens(docs))
     assert {r.doc_id: r.tok_idx for r in got.collect()} == {1: 1, 2: 1, 3: 0}
     assert "regexp_extract_all" not in plan(got)
+
+
+def test_small_groups_fold_in_one_batch(spark):
+    df = spark.createDataFrame([(None, 1), (1, 1), (1, 2), (2, 1), (None, 2)], "k bigint, p bigint")
+
+    class Count:
+        def __init__(self):
+            self.n = 0
+
+        def __call__(self, pdf):
+            self.n += len(pdf)
+            return pdf[["p"]].assign(n=self.n)
+
+    folded = P.fold_in_order(df.coalesce(1), ["k"], ["p"], Count, "p bigint, n bigint")
+    assert sorted((r.p, r.n) for r in folded.collect()) == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 2)]
+    assert "FlatMapGroups" not in plan(folded)

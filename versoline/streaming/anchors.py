@@ -50,8 +50,8 @@ def insert_in_order(arrivals: DataFrame) -> DataFrame:
             self.chapter = Chapter()
 
         def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pdf.assign(accepted=[
-                self.chapter.insert(int(a), int(c), float(w)) for a, c, w in zip(pdf["audio_ms"], pdf["char_offset"], pdf["confidence"])])[COLUMNS]
+            rows = zip(*(pdf[c].tolist() for c in ("audio_ms", "char_offset", "confidence")))
+            return pdf.assign(accepted=[self.chapter.insert(int(a), int(c), float(w)) for a, c, w in rows])[COLUMNS]
 
     cols = [c for c in COLUMNS if c != "accepted"]
     return P.fold_in_order(arrivals.select(*cols), A.CHAPTER, ["seq"], Step, OUT)
