@@ -59,3 +59,10 @@ def test_small_groups_fold_in_one_batch(spark):
     folded = P.fold_in_order(df.coalesce(1), ["k"], ["p"], Count, "p bigint, n bigint")
     assert sorted((r.p, r.n) for r in folded.collect()) == [(1, 1), (1, 2), (1, 2), (2, 2), (2, 2)]
     assert "FlatMapGroups" not in plan(folded)
+
+
+def test_passage_search_bounds_its_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id bigint, text string")
+    Q.match(docs.select(F.col("doc_id").alias("query_id"), "text"), docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"

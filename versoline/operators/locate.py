@@ -19,7 +19,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoline.functions import text as X
@@ -264,9 +264,15 @@ def _aligned(candidates: DataFrame) -> DataFrame:
 _FOUND = pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in FOUND_SCHEMA.split(", ")])
 
 
+def _bounded(spark: SparkSession) -> SparkSession:
+    """Let Spark hand Arrow batches of at most 4 MB (one row, if that is longer) to Python: ten thousand long documents would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return spark
+
+
 def _search(queries: DataFrame, words: DataFrame, enough: Column) -> DataFrame:
     """Best place of every passage in every document where its score reaches ``enough`` (of ``n``, its words): ``words(doc_id, words)``."""
-    spark = queries.sparkSession
+    spark = _bounded(queries.sparkSession)
     q = P.stage(queries.select("query_id", X.words(F.col("text")).alias("q")).filter(F.size("q") > 0).withColumn("n", F.size("q")).withColumn("enough", enough.cast("int")))
     total = q.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
@@ -332,6 +338,7 @@ def _inside(windows: DataFrame) -> DataFrame:
 
         yield from _batches(rows(), _ASKED)
 
+    _bounded(windows.sparkSession)
     asked = windows.select("query_id", "doc_id", "q", F.col("from_tok").cast("int").alias("from_tok"), "words", F.col("enough").cast("int").alias("enough"))
     return _aligned(asked.mapInArrow(run, _ASKED_SCHEMA))
 
