@@ -32,6 +32,13 @@ def test_frequent_words_count_in_all_slices(spark):
     assert M.frequent_words(cut, 1).tolist() == [7]
 
 
+def test_natural_keys_are_strings_that_sort_by_code_points(spark):
+    names = ["", "a", "a\u0000", "a\u0001", "a07", "a7b", "a10", "a99999999", "a100000000", "a0000000000100000001", "as", "ast", "aß", "aßa", "b"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "n string, i int").withColumn("k", X.natural_key(F.col("n")))
+    assert df.schema["k"].dataType.simpleString() == "string"
+    assert [r.n for r in df.orderBy(F.desc("i")).orderBy("k").collect()] == ["", "a", "a\u0000", "a\u0001", "a07", "a7b", "a10", "a99999999", "a100000000", "a0000000000100000001", "as", "ast", "aß", "aßa", "b"]
+
+
 def test_sentence_ends_are_only_tried_at_marks(spark):
     df = T.sentences(spark.createDataFrame([(1, "One. Two.")], "doc_id int, text string"))
     assert f"(?=[{T.TERMINATORS}])(?<!" in plan(df)
