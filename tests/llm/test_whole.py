@@ -3,6 +3,7 @@
 import collections
 import inspect
 import math
+import re
 import textwrap
 
 import numpy as np
@@ -109,3 +110,30 @@ def test_wrapped_licences(spark):
     wanted[len(rows) - 1] = ""
     got = {r["doc_id"]: (r["licences"], r["matched"]) for r in licences.scan(make(spark, rows)).collect()}
     assert {k: v[0] for k, v in got.items()} == wanted and all(got[k][1] == wanted[k] for k in wanted)
+
+
+def test_texts_meet_their_ngrams_without_a_shuffle(spark, prose, capsys):
+    rows = [(k, prose(40)) for k in range(60)] + [(100, "\x01a\x02 \x01\x02 b"), (101, None), (102, "\U0001f600 x")]
+    own = perplexity.sliced(make(spark, rows))
+    model = perplexity.train(own)
+    scored = perplexity.score(own, model)
+    scored.explain()
+    assert len(re.findall(r"Exchange hashpartitioning\(slice#", capsys.readouterr().out)) == 1  # of the answers, not of the texts
+    got = {r["doc_id"]: r["log_perplexity"] for r in scored.collect()}
+    texts = [t for _, t in rows if t]
+    logs, size = model.log_probability(texts, np.repeat(perplexity.hash_words(["en"]), len(texts)))
+    assert got.pop(101) is None and np.allclose([got[k] for k, t in rows if t], -logs / size, rtol=0, atol=1e-9)
+
+
+def test_ngrams_of_lower_orders_are_counted_from_the_highest(spark):
+    texts = ["\x01a\x02b ab", "ab ab", "a", "\U0001f600b ab"]
+    plain, before = collections.Counter(), collections.defaultdict(set)
+    for t in texts:
+        marked = "\t" * 3 + t + "\n"
+        for k in range(3, len(marked)):
+            for o in range(1, 5):
+                plain[marked[k - o + 1 : k + 1]] += 1
+                before[marked[k - o + 1 : k + 1]].add(marked[k - o : k - o + 1])
+    wanted = collections.Counter((len(g), n if len(g) == 4 or len(g) > 1 and g[0] == "\t" else len(before[g])) for g, n in plain.items())
+    counted = perplexity.count(make(spark, list(enumerate(texts))), 4).collect()
+    assert collections.Counter((r["o"], r["a"]) for r in counted) == wanted and len({(r["o"], r["key"]) for r in counted}) == len(plain)

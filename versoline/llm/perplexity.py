@@ -8,7 +8,8 @@ is pruned, collected or broadcast.  The probability of an n-gram is its discount
 probability of its suffix, joined order by order.
 
 *Score.*  The perplexity of a document is that of its characters, blanks and end mark.  Documents are dealt into slices of some
-megabytes; the distinct n-grams of a slice are joined to their probabilities and meet the slice's texts again.
+megabytes and written in buckets of slices; the distinct n-grams of a slice are joined to their probabilities and shuffled to
+the bucket of the slice, so texts are written once and never shuffled.
 
 *Bands.*  Per language, over the documents that pass the base rules: the shortest stretch of log perplexity that holds half of
 them, which junk on one side hardly moves while it is less than half, says which documents are near the bulk (three standard
@@ -32,10 +33,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoline.llm.shared import U64, hash_words, mix, slices, stage, texts_of, word_table
+from versoline.llm.shared import U64, hash_words, mix, slices, stage, stage_buckets, texts_of, word_table
 
 START, END = 1, 2
+START_SIGN, END_SIGN = "\t", "\n"  # the marks in n-grams as strings: white space, which no unit of a text but the blank is
 SLICE = 2_000_000  # bytes of text a worker has in hand
+ASKED = 32_000_000  # bytes of text whose distinct n-grams are asked for together
 SYMBOLS = frozenset(b"#*$%&|<>")
 
 
@@ -86,51 +89,75 @@ def language_texts(batch, texts: list[bytes]) -> tuple[np.ndarray, list[str], np
     return rows, [plain[r] for r in rows.tolist()], hash_words(list(distinct))[lang[rows]]
 
 
+def gram_keys(lang: np.ndarray, grams: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, as in ``keys``, of n-grams of one order, of their contexts (all but the last unit) and of their suffixes (all but the first)."""
+    order = len(grams[0])
+    points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, order).astype(U64)
+    points = np.where(points == ord(START_SIGN), U64(START), np.where(points == ord(END_SIGN), U64(END), points + U64(3))) + U64(7)
+    key, context, suffix = lang.copy(), lang.copy(), lang.copy()
+    for o in range(1, order + 1):
+        factor = U64(pow(0x9E3779B97F4A7C15, o, 1 << 64))
+        key = key + points[:, order - o] * factor
+        if o < order:
+            context, suffix = context + points[:, order - 1 - o] * factor, suffix + points[:, order - o] * factor
+    return mix(key), mix(context), mix(suffix)
+
+
 def count(documents: DataFrame, order: int) -> DataFrame:
-    """lang hash, o, key, context, suffix, edge (begins with a start mark), n: n-grams counted over all documents."""
-    names = ["lang", "o", "key", "context", "suffix", "edge", "n"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    """lang hash, o, key, context, suffix, a: n-grams counted over all documents; ``a`` is the continuation count of a lower order's,
+    the plain one at the start of a document and in the highest order.  Only n-grams of the highest order leave the texts, as
+    strings: those of lower orders are their ends."""
+    names = ["lang", "gram", "n"]
 
     def merge(parts):
-        cols = [np.concatenate(c) for c in zip(*parts)]
-        key, first, index = np.unique(cols[1], return_index=True, return_inverse=True)
-        return [cols[0][first], key, cols[2][first], cols[3][first], cols[4][first], np.bincount(index, cols[5]).astype(np.int64)]
+        lang, key, points, n = (np.concatenate(c) for c in zip(*parts))
+        key, first, index = np.unique(key, return_index=True, return_inverse=True)
+        return lang[first], key, points[first], np.bincount(index, n).astype(np.int64)
+
+    def rows(held):
+        lang, _, points, n = merge(held)
+        points = np.where(points == START, ord(START_SIGN), np.where(points == END, ord(END_SIGN), points - 3)).astype(np.uint32)
+        for at in range(0, len(n), 500_000):
+            text = points[at : at + 500_000].tobytes().decode("utf-32-le")
+            yield pa.RecordBatch.from_arrays([pa.array(lang[at : at + 500_000].view(np.int64)), pa.array([text[k : k + order] for k in range(0, len(text), order)], pa.string()),
+                                              pa.array(n[at : at + 500_000])], names)
 
     def run(batches):
-        held: list[list] = [[] for _ in range(order + 1)]
-
-        def rows():
-            for o in range(1, order + 1):
-                if held[o]:
-                    lang, key, context, suffix, edge, n = merge(held[o])
-                    cols = [lang.view(np.int64), np.full(len(key), o, np.int32), key.view(np.int64), context.view(np.int64), suffix.view(np.int64), edge, n]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
-                    held[o] = []
-
+        held: list = []
         for batch in slices(batches, "text", SLICE):
             _, words, lang = language_texts(batch, texts_of(batch))
             if not words:
                 continue
             symbols, owner, places = characters(words, order)
             codes, distinct = pd.factorize(whole_keys(symbols, places, lang[owner], order))
-            one = np.empty(len(distinct), np.int64)  # a place of each distinct n-gram; those of lower orders are among their ends
+            one = np.empty(len(distinct), np.int64)  # a place of each distinct n-gram
             one[codes] = np.arange(len(codes))
-            times, lang, places = np.bincount(codes).astype(float), lang[owner[one]], places[one]
-            here, before = keys(symbols, places, lang, order)
-            for o in range(1, order + 1):
-                edge = symbols[places - o + 1] == START if o > 1 else np.zeros(len(places), bool)
-                part = merge([[lang, here[o], before[o - 1], here[o - 1], edge, times]])
-                held[o].append(part)
-                if len(held[o]) > 1 and sum(len(p[1]) for p in held[o]) > 3 * max(len(held[o][0][1]), 200_000):
-                    held[o] = [merge(held[o])]
-            if sum(len(p[1]) for h in held for p in h) > 6_000_000:
-                yield from rows()
-        yield from rows()
+            points = symbols[places[one][:, None] + np.arange(1 - order, 1)].astype(np.int32)
+            held.append((lang[owner[one]], distinct, points, np.bincount(codes)))
+            if len(held) > 1 and sum(len(p[1]) for p in held) > 3 * max(len(held[0][1]), 200_000):
+                held = [merge(held)]
+            if sum(len(p[1]) for p in held) > 6_000_000:
+                yield from rows(held)
+                held = []
+        if held:
+            yield from rows(held)
+
+    def hashed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = gram_keys(batch.column("lang").to_numpy().view(U64), batch.column("gram").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), *(pa.array(x.view(np.int64)) for x in found), batch.column("a")], ["lang", "key", "context", "suffix", "a"])
 
     own = documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counted = own.mapInArrow(run, "lang bigint, o int, key bigint, context bigint, suffix bigint, edge boolean, n bigint")
-    return counted.groupBy("o", "key").agg(F.first("lang").alias("lang"), F.first("context").alias("context"), F.first("suffix").alias("suffix"),
-                                           F.first("edge").alias("edge"), F.sum("n").alias("n"))
+    grams = stage(own.mapInArrow(run, "lang bigint, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    out = None
+    for o in range(order, 0, -1):
+        if o < order:
+            grams = stage(grams.groupBy("lang", F.substring("gram", 2, o).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("before")))
+        a = F.when(F.startswith("gram", F.lit(START_SIGN)) & F.lit(o > 1), F.col("n")).otherwise(F.col("before")) if o < order else F.col("n")
+        level = grams.select("lang", "gram", a.alias("a")).mapInArrow(hashed, "lang bigint, key bigint, context bigint, suffix bigint, a bigint").withColumn("o", F.lit(o))
+        out = level if out is None else out.unionByName(level)
+    return out
 
 
 @dataclass
@@ -165,9 +192,7 @@ class Model:
 
 def train(documents: DataFrame, order: int = 4) -> Model:
     """Modified Kneser-Ney from counts over all documents."""
-    counted = stage(count(documents, order))
-    continued = counted.where("o > 1").groupBy((F.col("o") - 1).alias("o"), F.col("suffix").alias("key")).agg(F.count("*").alias("left"))
-    grams = stage(counted.join(continued, ["o", "key"], "left").withColumn("a", F.when(F.col("edge") | (F.col("o") == order), F.col("n")).otherwise(F.coalesce("left", "n"))))
+    grams = stage(count(documents, order))
     spectrum = grams.groupBy("lang", "o").agg(*(F.sum((F.col("a") == i).cast("bigint")).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("size"))
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     ratio = lambda i: F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)), F.lit(0.1)), F.lit(i - 0.1))
@@ -219,15 +244,18 @@ FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def sliced(documents: DataFrame) -> DataFrame:
-    """slice, doc_id, text, lang, written out: documents dealt into slices of about ``SLICE`` bytes in the order they are read."""
+    """slice, doc_id, text, lang, written out in buckets: documents dealt into slices of about ``ASKED`` bytes in the order they are read."""
 
     def run(batches):
+        name, size = 0, ASKED
         for batch in slices(batches, "text", SLICE):
-            name = pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65, np.int64))
-            yield pa.RecordBatch.from_arrays([name, *batch.columns], ["slice", *batch.schema.names])
+            if size >= ASKED:
+                name, size = uuid.uuid4().int >> 65, 0
+            size += batch.column("text").nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, name, np.int64)), *batch.columns], ["slice", *batch.schema.names])
 
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return stage(own.mapInArrow(run, "slice bigint, doc_id bigint, text string, lang string"))
+    return stage_buckets(own.mapInArrow(run, "slice bigint, doc_id bigint, text string, lang string"), "slice")
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -238,21 +266,31 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     kinds = "doc_id bigint, lang string, " + ", ".join(f"{f} bigint" for f in FACTS) + ", log_perplexity double"
 
     def ask(batches):
-        for batch in batches:
-            for part in batch.column("slice").unique():
+        held: dict[int, np.ndarray] = {}
+
+        def rows():
+            for part, key in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part)), pa.array(key)], ["slice", "key"])
+            held.clear()
+
+        for batch in slices(batches, "text", SLICE):
+            for part in batch.column("slice").unique().to_pylist():
                 own = batch.filter(pa.compute.equal(batch.column("slice"), part))
                 _, words, lang = language_texts(own, texts_of(own))
                 if words:
                     symbols, owner, places = characters(words, order)
                     key = pd.unique(whole_keys(symbols, places, lang[owner], order)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part.as_py())), pa.array(key)], ["slice", "key"])
+                    held[part] = pd.unique(np.concatenate([held[part], key])) if part in held else key
+            if sum(map(len, held.values())) > 6_000_000:  # an n-gram asked for twice gets two equal answers
+                yield from rows()
+        yield from rows()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known, p = right["key"].to_numpy(), right["p"].to_numpy()
         rank = np.argsort(known)
         known, logs = known[rank], np.log(p[rank])
         out = []
-        for batch in slices([b for b in left.combine_chunks().to_batches()], "text", SLICE):
+        for batch in slices(left.to_batches(), "text", SLICE):
             texts = texts_of(batch)
             codes, docs, _ = word_table(texts)
             facts = base_counts(texts, codes, docs)
