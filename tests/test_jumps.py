@@ -68,3 +68,17 @@ def test_greedy_run_with_ties_everywhere(spark):
             if not kept or (p[0] > kept[-1][0] and p[1] > kept[-1][1]):
                 kept.append(p)
         assert sorted(got[k]) == kept
+
+
+def test_jumps_are_doubled_between_sure_events_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(P, "on_path", lambda nodes, keys, at, to, own=P.on_path: asked.append(nodes.count()) or own(nodes, keys, at, to))
+    groups = {1: [(25 * k, k, float(k), False) for k in range(200)],  # all sure
+              2: [(25 * k + (4 if k % 9 == 8 else 0) - (11 if k % 9 == 5 else 0), k, float(k), None if k % 7 else True) for k in range(60)]}
+    df = spark.createDataFrame([(b, "audio", seq, at, value, now) for b, rows in groups.items() for at, seq, value, now in rows],
+                               "book_id bigint, medium string, seq bigint, at_ms bigint, value double, now boolean")
+    got = {}
+    for r in S.throttled_exactly(df, 10).collect():
+        got.setdefault(r["book_id"], []).append((r["at_ms"], r["value"]))
+    assert all(sorted(got[k]) == sent(rows, 10) for k, rows in groups.items())
+    assert sum(asked) < 30  # the first group has none in doubt, the second few

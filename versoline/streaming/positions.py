@@ -65,31 +65,37 @@ def throttled_exactly(events: DataFrame, every_ms: int = 30_000) -> DataFrame:
     """The updates ``stream_throttle`` sends, for a finished table: ``events(book_id, medium, seq, at_ms, value, now)``, ordered by (at_ms, seq).
 
     An event is sent at once only if it is the group's first, urgent, or comes a wait or more after the event before it; of the last
-    kind, whether it is depends on the phase of the send before.  So each of these events jumps to the next one that its own send lets
-    through, found in rounds of eight candidates; the jumps are doubled.  All others are sent, the last of a wait each, when it is over.
+    kind, whether it is depends on the phase of the send before, unless it comes two waits after.  So each of these events jumps to the
+    next one that its own send lets through: mostly the very next, else found in rounds of eight candidates.  Sure events are sent
+    however the send before lies, so jumps are doubled only between one sure event and the next.  All others are sent, the last of a
+    wait each, when it is over.
     """
     keys, e = ["book_id", "medium"], F.lit(every_ms)
-    day = P.slice_of("at_ms", 86_400_000)
-    rows = P.stage(P.scan(events.select(*keys, "seq", "at_ms", "value", "now"), keys, ["at_ms", "seq"], day, {"n": P.row_index(), "before": P.previous(F.col("at_ms"))}))
+    part = P.slice_of("at_ms", 16 * 86_400_000)
+    rows = P.stage(P.scan(events.select(*keys, "seq", "at_ms", "value", "now"), keys, ["at_ms", "seq"], part, {"n": P.row_index(), "before": P.previous(F.col("at_ms"))}))
     gap = F.col("at_ms") - F.col("before")
     sure = F.col("before").isNull() | F.col("now") | (gap >= 2 * e)
-    nodes = P.stage(P.scan(rows.filter(sure | (gap >= e)).withColumn("sure", sure), keys, ["n"], day, {"i": P.row_index()}))
+    some = rows.filter(sure | (gap >= e)).withColumn("sure", F.coalesce(sure, F.lit(False)))
+    nodes = P.stage(P.scan(some, keys, ["n"], part, {"i": P.row_index(), "run": P.running_sum(F.col("sure").cast("bigint")),
+                                                     "after": P.following(F.struct("n", "at_ms", "before", "now", "sure"))}))
     phase = lambda t: F.floor((t - F.col("from_ms")) / e)
-    let_through = F.col("sure") | F.when(F.col("n") == F.col("from_n") + 1, True).otherwise(phase(F.col("at_ms")) - phase(F.col("before")) >= 2)
-    open_ = nodes.select(*keys, F.col("i").alias("from_i"), F.col("n").alias("from_n"), F.col("at_ms").alias("from_ms"), (F.col("i") + 1).alias("next_i"))
-    jumps = None
-    while True:
+    lets_through = lambda c: c("sure") | F.when(c("n") == F.col("from_n") + 1, True).otherwise(phase(c("at_ms")) - phase(c("before")) >= 2)
+    from_ = nodes.select(*keys, F.col("i").alias("from_i"), F.col("n").alias("from_n"), F.col("at_ms").alias("from_ms"), "after").filter("after is not null")
+    near = lets_through(lambda c: F.col(f"after.{c}"))
+    to = F.struct((F.col("from_i") + 1).alias("i"), F.col("after.at_ms").alias("at_ms"), F.col("after.now").alias("now"), F.col("after.sure").alias("sure"))
+    jumps = from_.filter(near).select(*keys, F.col("from_i").alias("i"), to.alias("to"))
+    open_ = P.stage(from_.filter(~near).drop("after").withColumn("next_i", F.col("from_i") + 2))
+    while not open_.isEmpty():
         tried = P.stage(open_.withColumn("i", F.explode(F.sequence(F.col("next_i"), F.col("next_i") + 7))).join(nodes, [*keys, "i"]).groupBy(*keys, "from_i", "from_n", "from_ms").agg(
-            F.min(F.when(let_through, F.struct("i", "at_ms", "now"))).alias("to"), (F.max("i") + 1).alias("next_i")))
-        found = tried.filter("to is not null").select(*keys, F.col("from_i").alias("i"), "to")
-        jumps = found if jumps is None else jumps.unionByName(found)
+            F.min(F.when(lets_through(F.col), F.struct("i", "at_ms", "now", "sure"))).alias("to"), (F.max("i") + 1).alias("next_i")))
+        jumps = jumps.unionByName(tried.filter("to is not null").select(*keys, F.col("from_i").alias("i"), "to"))
         open_ = tried.filter("to is null").drop("to")
-        if open_.isEmpty():
-            break
-    jumps = P.stage(jumps)
-    joined = nodes.join(jumps, [*keys, "i"], "left").withColumn("to_i", F.col("to.i"))
-    sent = P.stage(joined.join(P.on_path(joined, keys, "i", "to_i"), [*keys, "i"], "left_semi").select(*keys, "n", F.struct("at_ms", "to").alias("own")))
-    follow = P.scan(rows.join(sent, [*keys, "n"], "left"), keys, ["n"], day, {"send": P.last_known(F.col("own"))})
+    joined = P.stage(nodes.join(jumps, [*keys, "i"], "left"))
+    doubtful = joined.withColumn("to_i", F.when(~F.col("to.sure"), F.col("to.i"))).filter(~F.col("sure") | ~F.col("after.sure"))
+    met = joined.filter(~F.col("sure")).join(P.on_path(doubtful, [*keys, "run"], "i", "to_i"), [*keys, "run", "i"], "left_semi")
+    own = F.struct("at_ms", "to").alias("own")
+    sent = P.stage(joined.filter("sure").unionByName(met).select(*keys, "n", own))
+    follow = P.scan(rows.join(sent, [*keys, "n"], "left"), keys, ["n"], part, {"send": P.last_known(F.col("own"))})
     ending = F.col("send.at_ms") + (F.floor((F.col("at_ms") - F.col("send.at_ms")) / e) + 1) * e
     late = follow.filter("own is null").groupBy(*keys, ending.alias("sent_ms"), "send").agg(F.max_by("value", "n").alias("value")).filter(
         F.col("send.to").isNull() | (F.col("sent_ms") <= F.col("send.to.at_ms")))
