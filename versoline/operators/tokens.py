@@ -12,6 +12,8 @@ from versoline.operators import primitives as P
 LETTERS = "aienoutsrmkldghybpwcvjzf'qx"
 FIRST_LETTER = 4
 WILDCARD = FIRST_LETTER + len(LETTERS)
+#: Characters of a cell of token starts: the bits of a long.
+CELL = 64
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,13 +35,30 @@ def query_words(queries: DataFrame, key: str = "query_id", text: str = "text") -
 def index_at_char(offsets: DataFrame, toks: DataFrame, key: str = "doc_id", at: str = "at_char") -> DataFrame:
     """First token starting at or after the offset; the token count when there is none.
 
-    The tokens are read four times, so their places are staged: texts are cut once.
+    Token starts leave a text as cells: a bit per character of ``CELL``, counted up before the shuffle, so that a token costs no row.
+    That numbers the tokens of a key that has each number once, in order of place, which a text's tokens do; tokens of other keys
+    (texts of one id) are looked up one by one.
     """
-    toks = P.stage(toks.select(key, "tok_idx", "char_start"))
-    total = toks.groupBy(key).agg(F.count("*").cast("int").alias("__n"))
-    b = P.bracket(offsets, toks, [key], at, "char_start", ["tok_idx"], 256).join(total, key, "left")
-    found = P.at_or_after("char_start", at)
-    return b.select(*offsets.columns, F.coalesce(found["tok_idx"], F.col("__n"), F.lit(0)).alias("tok_idx"))
+    place, number = F.col("char_start").cast("bigint"), F.col("tok_idx").cast("bigint")
+    within = toks.filter(F.col(key).isNotNull()).groupBy(key, P.slice_of(place, CELL).alias("__cell")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(CELL)).cast("int"))).alias("__bits"),
+        F.min(number).alias("__first"), F.max(number).alias("__last"), F.count("*").alias("__rows"))
+    cells = P.stage(within)
+    size = F.sum("__rows")
+    even = F.min(F.coalesce((F.col("__last") - F.col("__first") + 1 == F.col("__rows")) & (F.bit_count("__bits") == F.col("__rows")), F.lit(False)))
+    keys = P.stage(cells.groupBy(key).agg(size.alias("__n"), (even & (F.min("__first") == 0) & (F.max("__last") + 1 == size)).alias("__even")))
+    asked = offsets.join(keys, key, "left").withColumn("__at", P.slice_of(F.col(at), CELL))
+    b = P.bracket(asked.filter(F.coalesce("__even", F.lit(True))), cells.join(keys.filter("__even").select(key), key, "left_semi"), [key], "__at", "__cell", ["__bits", "__first", "__last"], 256)
+    low, high = F.col("lo"), F.col("hi")
+    before = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.pmod(F.col(at), F.lit(CELL)).cast("int")))
+    ahead = F.bit_count(low["__bits"].bitwiseAND(before))
+    found = F.when(low["__cell"] == F.col("__at"), low["__first"] + ahead).otherwise(F.coalesce(low["__last"] + 1, high["__first"]))
+    out = b.select(*offsets.columns, F.coalesce(found, F.col("__n"), F.lit(0)).cast("int").alias("tok_idx"))
+    odd = keys.filter("not __even")
+    if odd.isEmpty():
+        return out
+    single = P.bracket(asked.filter("not __even"), toks.join(odd.select(key), key, "left_semi"), [key], at, "char_start", ["tok_idx"], 256)
+    return out.unionByName(single.select(*offsets.columns, F.coalesce(P.at_or_after("char_start", at)["tok_idx"], F.col("__n")).cast("int").alias("tok_idx")))
 
 
 def merge_subwords(pieces: DataFrame, key: str = "segment_id") -> DataFrame:
