@@ -1,8 +1,11 @@
 """A listing's books: what the order of their audio decides, and what a pass over them plans."""
 
+import hashlib
+
 import duckdb
 
 import __spark_entry__ as entry
+from versoline.streaming import watch as W
 
 
 def tables(spark, path, lines, orders):
@@ -21,3 +24,17 @@ def test_audio_of_a_book_is_in_natural_order(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     want = con.execute(entry.oracle_sql()["join_folder_pairing"]).fetchall()
     assert {r[0]: r[4:] for r in want} == got
+
+
+def listed(spark, *rows):
+    return spark.createDataFrame(list(rows), W.FILES)
+
+
+def test_a_pass_reads_a_listing_for_its_folders_only(spark, tmp_path):
+    rows = [("/lib/a/A.epub", 1, 1), ("/lib/a/10.mp3", 2, 2), ("/lib/a/9.mp3", 3, 3), ("/lib/b/One.epub", 4, 4), ("/lib/b/Two.epub", 5, 5), ("/lib/b/one.mp3", 6, 6), ("/lib/b/x.mp3", 7, 7)]
+    listed(spark, *rows).write.parquet(str(tmp_path / "files"))
+    planned = W.pass_over(spark.read.parquet(str(tmp_path / "files")), None, "better")
+    assert not [f for f in planned.inputFiles() if str(tmp_path) in f]
+    sha = lambda *lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()[:16].upper()
+    assert {r.key: r.fingerprint for r in planned.collect()} == {
+        "/lib/a/A.epub": sha("A.epub|1|1", "9.mp3|3|3", "10.mp3|2|2"), "/lib/b/One.epub": sha("One.epub|4|4", "one.mp3|6|6")}
