@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from versoline.streaming import watch as W
@@ -38,3 +39,42 @@ def test_a_pass_reads_a_listing_for_its_folders_only(spark, tmp_path):
     sha = lambda *lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()[:16].upper()
     assert {r.key: r.fingerprint for r in planned.collect()} == {
         "/lib/a/A.epub": sha("A.epub|1|1", "9.mp3|3|3", "10.mp3|2|2"), "/lib/b/One.epub": sha("One.epub|4|4", "one.mp3|6|6")}
+
+
+def test_a_pass_minds_settings_output_and_what_it_knew(spark):
+    book = lambda n, *more: [(f"/lib/{n}/B.epub", 1, 1), (f"/lib/{n}/1.mp3", 2, 2), *more]
+    two = [("/lib/two/X.epub", 1, 1), ("/lib/two/Y.epub", 1, 1), ("/lib/two/1.mp3", 1, 1)]
+    rows = [*book("plain"), *book("own"), *book("left"), *book("made"), *book("told"), *two, ("/out/made/B.epub", 9, 9), ("/out/made/1.mp3", 9, 9)]
+    settings = spark.createDataFrame([("/lib/own", "best", None), ("/lib/left", None, True), ("/lib/two", None, None)], "folder string, recipe string, skip boolean")
+    how = {"recipe": "better", "settings": settings, "narrated": spark.createDataFrame([("/lib/told/B.epub",)], "path string"), "library": "/lib", "output": "/out"}
+    first = W.pass_over(listed(spark, *rows), None, **how).cache()
+    assert {r.key: (r.action, r.status, r.recipe) for r in first.collect()} == {
+        "/lib/plain/B.epub": ("work", "Waiting", "better"), "/lib/own/B.epub": ("work", "Waiting", "best"), "/lib/left/B.epub": ("skip", None, None),
+        "/lib/made/B.epub": ("already made", "Done", "better"), "/lib/two/two.epub": ("problem", "Failed", "better")}
+    # All are done since; another default, a new disc where there was no audio, a changed file, one folder's books gone, one left alone no more.
+    done = first.withColumn("status", F.when(F.col("action") == "work", "Done").otherwise(F.col("status")))
+    more = [("/lib/new/B.epub", 1, 1), ("/lib/new/cd1/1.mp3", 1, 1), ("/lib/plain/2.mp3", 1, 1)]
+    now = [*[r for r in rows if r[0] != "/lib/own/B.epub"], *more]
+    changed = spark.createDataFrame([("/lib/new/cd1/1.mp3",), ("/lib/plain/2.mp3",), ("/lib/own/B.epub",)], "path string")
+    how |= {"recipe": "light", "settings": settings.filter("folder <> '/lib/left'")}
+    second = W.pass_over(listed(spark, *now), done, changed=changed, **how)
+    want = W.pass_over(listed(spark, *now), done, **how)
+    assert sorted(map(str, second.collect())) == sorted(map(str, want.collect()))
+    assert {r.key: r.action for r in second.collect()} == {
+        "/lib/plain/B.epub": "work", "/lib/own/B.epub": "gone", "/lib/left/B.epub": "work", "/lib/made/B.epub": "nothing", "/lib/two/two.epub": "problem", "/lib/new/B.epub": "work"}
+
+
+def test_the_watch_goes_on_from_its_first_pass(spark, tmp_path):
+    lines = [(p, o, s, n) for p in (3, 4) for o in range(40) for s in (1, 9) for n in (1, 2)]
+    tables(spark, tmp_path, lines, [(p, o) for p in (3, 4) for o in range(40)])
+    spark.createDataFrame([(p, p % 50) for p in range(1, 2000)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    actions = {r.action for r in entry.queries()["str_library_watch"](spark, str(tmp_path)).collect()}
+    assert {"work", "nothing"} <= actions  # a first pass knows of no book to do nothing about
+
+
+def test_a_change_in_a_folder_leaves_its_neighbours_unread(spark):
+    rows = listed(spark, ("/lib/x/A.epub", 1, 1), ("/lib/x/1.mp3", 1, 1), ("/lib/y/B.epub", 1, 1), ("/lib/y/cd1/1.mp3", 1, 1), ("/lib/z/C.epub", 1, 1))
+    read = lambda *folders: {r.path for r in W.near(rows, W.contents(rows), spark.createDataFrame([(f,) for f in folders], "folder string")).collect()}
+    assert read("/lib/x") == {"/lib/x/A.epub", "/lib/x/1.mp3"}
+    assert read("/lib/y") == {"/lib/y/B.epub", "/lib/y/cd1/1.mp3"}
+    assert {r.folder for r in W.touched(rows.filter("path = '/lib/y/cd1/1.mp3'")).collect()} == {"/lib/y/cd1", "/lib/y"}
