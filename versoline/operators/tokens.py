@@ -46,14 +46,19 @@ def index_at_char(offsets: DataFrame, toks: DataFrame, key: str = "doc_id", at:
     cells = P.stage(within)
     size = F.sum("__rows")
     even = F.min(F.coalesce((F.col("__last") - F.col("__first") + 1 == F.col("__rows")) & (F.bit_count("__bits") == F.col("__rows")), F.lit(False)))
-    keys = P.stage(cells.groupBy(key).agg(size.alias("__n"), (even & (F.min("__first") == 0) & (F.max("__last") + 1 == size)).alias("__even")))
+    keys = P.stage(cells.groupBy(key).agg(size.alias("__n"), (even & (F.min("__first") == 0) & (F.max("__last") + 1 == size)).alias("__even"),
+                                         F.min("__cell").alias("__low"), F.max("__cell").alias("__high")))
     asked = offsets.join(keys, key, "left").withColumn("__at", P.slice_of(F.col(at), CELL))
-    b = P.bracket(asked.filter(F.coalesce("__even", F.lit(True))), cells.join(keys.filter("__even").select(key), key, "left_semi"), [key], "__at", "__cell", ["__bits", "__first", "__last"], 256)
-    low, high = F.col("lo"), F.col("hi")
+    hit = asked.filter(F.coalesce("__even", F.lit(True))).join(cells.select(key, F.col("__cell").alias("__at"), "__bits", "__first"), [key, "__at"], "left")
     before = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.pmod(F.col(at), F.lit(CELL)).cast("int")))
-    ahead = F.bit_count(low["__bits"].bitwiseAND(before))
-    found = F.when(low["__cell"] == F.col("__at"), low["__first"] + ahead).otherwise(F.coalesce(low["__last"] + 1, high["__first"]))
-    out = b.select(*offsets.columns, F.coalesce(found, F.col("__n"), F.lit(0)).cast("int").alias("tok_idx"))
+    outside = F.when(F.col("__at") < F.col("__low"), F.lit(0)).when(F.col("__at").between(F.col("__low"), F.col("__high")), F.lit(None)).otherwise(F.coalesce("__n", F.lit(0)))
+    found = F.when(F.col("__bits").isNotNull(), F.col("__first") + F.bit_count(F.col("__bits").bitwiseAND(before))).otherwise(outside)
+    looked = P.stage(hit.select(*offsets.columns, "__at", found.cast("int").alias("tok_idx")))
+    out = looked.filter("tok_idx is not null").drop("__at")
+    gaps = looked.filter("tok_idx is null").drop("tok_idx")
+    if not gaps.isEmpty():  # between two cells: all tokens of the cells before
+        b = P.bracket(gaps, cells.join(gaps.select(key), key, "left_semi"), [key], "__at", "__cell", ["__first", "__rows"], 256)
+        out = out.unionByName(b.select(*offsets.columns, (F.col("lo.__first") + F.col("lo.__rows")).cast("int").alias("tok_idx")))
     odd = keys.filter("not __even")
     if odd.isEmpty():
         return out
